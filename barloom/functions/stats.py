@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from barloom.functions.columns import c, ratio
-from barloom.functions.scan import running
+from barloom.functions.scan import numeric_bucket, running
 
 
 @F.pandas_udf("double")
@@ -62,8 +62,8 @@ def rank_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None)
     """Exact ROC-AUC per group from average ranks.
 
     Rows are first reduced to one row per distinct score, so a group that holds
-    most of the data is ranked over its distinct scores, in time buckets of the
-    score range, not over its rows.
+    most of the data is ranked over its distinct scores, in buckets of the score
+    range, not over its rows.
     """
     by = list(by or [])
     per = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("__s")).agg(
@@ -111,3 +111,62 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
         .filter(F.col("__r") <= k)
         .drop("__r")
     )
+
+
+def exact_quantiles(
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], *, mode: str = "linear"
+) -> DataFrame:
+    """Exact quantiles per group without holding a group in one aggregate.
+
+    ``percentile`` keeps every distinct value of a group in one buffer.  Here a
+    coarse histogram (tiny after the map-side combine) finds the buckets that
+    contain the wanted ranks, and only the rows of those buckets are counted by
+    value.  ``mode`` is ``linear`` (interpolated) or ``nearest`` (rank rounded
+    half to even).
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(
+        *by, F.col(value).cast("double").alias("__v"), numeric_bucket(F.col(value)).alias("__b")
+    )
+    hist = rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    order = W.partitionBy(*by).orderBy("__b")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    hist = hist.withColumns(
+        {
+            "__before": F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n"),
+            "__total": F.sum("__n").over(whole),
+        }
+    )
+    spots = []
+    for name, p in probs.items():
+        at = (F.col("__total") - 1) * F.lit(float(p))
+        ends = [F.floor(at), F.ceil(at)] if mode == "linear" else [F.bround(at, 0)] * 2
+        for side, idx in zip(("lo", "hi"), ends):
+            spots.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), idx.cast("bigint").alias("idx"),
+                                  (at - F.floor(at)).alias("frac")))
+    wanted = (
+        hist.select(*by, "__b", "__before", "__n", F.explode(F.array(*spots)).alias("s"))
+        .filter((F.col("s.idx") >= F.col("__before")) & (F.col("s.idx") < F.col("__before") + F.col("__n")))
+        .select(*by, "__b", "__before", "s.*")
+    )
+    # the wanted buckets are a few rows per group
+    on = [*by, "__b"]
+    values = rows.join(wanted.select(*on).distinct(), on, "left_semi").groupBy(*on, "__v").agg(F.count(F.lit(1)).alias("__m"))
+    w = W.partitionBy(*on).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    values = values.withColumn("__upto", F.sum("__m").over(w))
+    picked = (
+        wanted.join(values, on)
+        .filter(F.col("__before") + F.col("__upto") > F.col("idx"))
+        .groupBy(*by, "name", "side")
+        .agg(F.min("__v").alias("__v"), F.max("frac").alias("frac"))
+    )
+    pick = lambda n, side, c: F.max(F.when((F.col("name") == n) & (F.col("side") == side), F.col(c)))
+    out = []
+    for name in probs:
+        lo, hi, frac = pick(name, "lo", "__v"), pick(name, "hi", "__v"), pick(name, "lo", "frac")
+        out.append((lo + (hi - lo) * (frac if mode == "linear" else F.lit(0.0))).alias(name))
+    return picked.groupBy(*by).agg(*out)
+
+
+def unpivot_numeric(df: DataFrame, ids: list[str], cols: list[str], name: str = "feature", value: str = "value") -> DataFrame:
+    """Wide numeric columns to (ids, name, value) rows."""
+    return df.select(*ids, *[F.col(x).cast("double").alias(x) for x in cols]).unpivot(ids, cols, name, value)
