@@ -1 +1,8 @@
+"""Table bindings, named queries and oracle SQL."""
 
+
+def all_queries():
+    """(queries, oracles) of every query module."""
+    from barloom.plans import registry, study_queries  # noqa: F401
+
+    return registry.QUERIES, registry.ORACLES
