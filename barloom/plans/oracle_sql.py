@@ -113,8 +113,8 @@ cands0 AS (SELECT *, symbol || '-' || CAST(session_date AS VARCHAR) || '-break_r
   CASE WHEN zone_width = 0 THEN 0 ELSE greatest(CASE WHEN s > 0 THEN entry_price - pivot_price ELSE pivot_price - entry_price END, 0) / zone_width END AS continuation_displacement_ratio,
   CASE WHEN zone_width = 0 THEN 0 ELSE greatest(CASE WHEN s > 0 THEN entry_price - zone_high ELSE zone_low - entry_price END, 0) / zone_width END AS post_reclaim_close_strength
   FROM found),
-cands AS (SELECT *, CASE WHEN first_break_wick_excess_points > 0 AND first_break_close_excess_points <= 0 THEN 1.0 ELSE 0.0 END AS first_break_wick_only,
-  CASE WHEN first_break_close_excess_points > 0 THEN 1.0 ELSE 0.0 END AS first_break_close_confirmed,
+cands AS (SELECT *, CASE WHEN first_break_wick_excess_points > 0 AND first_break_close_excess_points <= 0 THEN 1e0 ELSE 0e0 END AS first_break_wick_only,
+  CASE WHEN first_break_close_excess_points > 0 THEN 1e0 ELSE 0e0 END AS first_break_close_confirmed,
   CASE WHEN first_break_close_excess_points > 0 AND deepest_zone_retrace_fraction <= 0.35 AND post_reclaim_close_strength >= 0.5 THEN 'clean_break_continuation'
     WHEN deepest_zone_retrace_fraction >= 0.65 THEN 'deep_retrace_repair'
     WHEN first_break_wick_excess_points > 0 AND first_break_close_excess_points <= 0 AND reclaim_count >= 1 THEN 'wick_reclaim_repair'
