@@ -211,6 +211,12 @@ def cap_per_direction(cands: DataFrame, side: list[str]) -> DataFrame:
     )
 
 
+def first_per_id(cands: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """One row per candidate id: the earliest break that leads to the entry."""
+    w = W.partitionBy(*(key or ["candidate_id"])).orderBy("break_sod")
+    return cands.withColumn("__f", F.row_number().over(w)).filter(F.col("__f") == 1).drop("__f")
+
+
 def finalize(cands: DataFrame, zones: DataFrame, spec: SessionSpec, zone_key: list[str] | None = None) -> DataFrame:
     """Identity, reference prices and trace ratios over the zone width."""
     on = [*SESSION_KEY, *(zone_key or [])]

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from barloom.functions.asof import asof
 from barloom.functions.columns import flag, iso, ratio
+from barloom.operators.candidates import first_per_id
 from barloom.schemas import SESSION_KEY, SessionSpec
 
 RECENT = 16  # fixed value: bars in the recent market-state window
@@ -138,60 +139,43 @@ def session_gaps(bars: DataFrame) -> DataFrame:
     return per.select(*SESSION_KEY, ratio(F.col("first_open") - prior, prior).alias("prior_close_gap"))
 
 
-def _pick(ctx: DataFrame, cols: list[str], prefix: str, sod: str) -> DataFrame:
-    return ctx.select(*SESSION_KEY, F.col("sod").alias(sod), *[F.col(x).alias(prefix + x) for x in cols])
+TRIGGER_COLS = [
+    "pos", "open", "high", "low", "close", "body", "s_open", "s_first_close", "s_high", "s_low", "s_volume", "s_turn", "atr",
+    "w_first_close", "w_first_open", "w_turn", "w_high", "w_low", "w_body", "w_wick", "vol_10", "vol_30", "net_10", "net_30",
+    "abs_10", "abs_30", "open_10", "open_30", "range_10", "range_30",
+]
+BREAK_COLS = ["open", "high", "low", "close", "volume", "s_speed", "p_range", "p_volume"]
 
 
-def anchored(cands: DataFrame, ctx: DataFrame, key: list[str]) -> DataFrame:
-    """Candidates with their trigger bar and break bar attached.
+def candidate_bars(cands: DataFrame, ctx: DataFrame, key: list[str]) -> DataFrame:
+    """Per candidate: trigger bar, break bar and the bars between, in one pass.
 
-    The break bar is the bar that starts with the break; where that bar is
-    missing, the first bar up to the trigger whose wick leaves the zone.
+    One join on the session key and one aggregation on (session, candidate);
+    both follow the partitioning the bars already have, so the bars are
+    shuffled once.  The break bar is the bar that starts with the break; where
+    that bar is missing, the first bar up to the trigger whose wick leaves the
+    zone.
     """
-    trig = _pick(ctx, ["pos", "open", "high", "low", "close", "body", "s_open", "s_first_close", "s_high", "s_low",
-                       "s_volume", "s_turn", "atr", "w_first_close", "w_first_open", "w_turn", "w_high", "w_low",
-                       "w_body", "w_wick", "vol_10", "vol_30", "net_10", "net_30", "abs_10", "abs_30", "open_10",
-                       "open_30", "range_10", "range_30"], "t_", "trigger_sod")
-    j = cands.join(trig, [*SESSION_KEY, "trigger_sod"])
-    brk_cols = ["open", "high", "low", "close", "volume", "s_speed", "p_range", "p_volume"]
-    exact = j.join(
-        _pick(ctx, brk_cols, "b_", "break_sod").withColumn("b_found", F.lit(1)), [*SESSION_KEY, "break_sod"], "left"
-    )
-    crossing = F.when(F.col("direction") == "long", F.col("high") > F.col("zone_high")).otherwise(
-        F.col("low") < F.col("zone_low")
-    )
-    lost = exact.filter(F.col("b_found").isNull()).select(*SESSION_KEY, *key, "trigger_sod", "direction", "zone_high", "zone_low")
-    first = (
-        lost.join(ctx.select(*SESSION_KEY, "sod", *brk_cols), SESSION_KEY)
-        .filter((F.col("sod") <= F.col("trigger_sod")) & crossing)
-        .groupBy(*key)
-        .agg(F.min_by(F.struct(*brk_cols), "sod").alias("__alt"))
-    )
-    both = exact.join(first, key, "left")
-    return both.select(
-        *[F.col(x) for x in both.columns if not x.startswith("b_") and x != "__alt"],
-        *[F.coalesce(F.col("b_" + x), F.col("__alt")[x]).alias("b_" + x) for x in brk_cols],
-    )
-
-
-def window_stats(anch: DataFrame, ctx: DataFrame, key: list[str]) -> DataFrame:
-    """Aggregates over the bars between break, pivot and trigger, per candidate."""
-    bars = ctx.select(*SESSION_KEY, "sod", "pos", "open", "high", "low", "close", "body", "side", "prev_sod",
-                      "prev_side", "overlaps")
-    c = anch.select(*SESSION_KEY, *key, "direction", "break_sod", "pivot_sod", "trigger_sod", "zone_high", "zone_low", "t_pos")
-    rows = c.join(bars, SESSION_KEY).filter(
-        (F.col("sod") <= F.col("trigger_sod"))
-        & ((F.col("sod") > F.col("break_sod")) | (F.col("pos") > F.col("t_pos") - RECENT))
-    )
+    c = cands.select(*SESSION_KEY, *key, "direction", "break_sod", "pivot_sod", "trigger_sod", "zone_high", "zone_low")
+    rows = c.join(ctx, SESSION_KEY).filter(F.col("sod") <= F.col("trigger_sod"))
+    group = [*SESSION_KEY, *key]
+    rows = rows.withColumn("t_pos", F.max("pos").over(W.partitionBy(*group)))
     long = F.col("direction") == "long"
     in_pivot = F.col("sod") > F.col("break_sod")
     in_seq = (F.col("sod") >= F.col("pivot_sod")) & in_pivot
     in_recent = F.col("pos") > F.col("t_pos") - RECENT
+    crossing = F.when(long, F.col("high") > F.col("zone_high")).otherwise(F.col("low") < F.col("zone_low"))
     with_dir = F.when(long, F.col("side") > 0).otherwise(F.col("side") < 0)
     fails = F.when(long, F.col("close") < F.col("zone_high")).otherwise(F.col("close") > F.col("zone_low"))
     weak = F.when(long, F.col("close") <= F.col("zone_high")).otherwise(F.col("close") >= F.col("zone_low"))
+    rows = rows.filter(in_pivot | in_recent | crossing | (F.col("sod") == F.col("break_sod")))
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    return rows.groupBy(*key).agg(
+    brk = F.struct(*BREAK_COLS)
+    agg = rows.groupBy(*group).agg(
+        F.max_by(F.struct(*TRIGGER_COLS), "pos").alias("t"),
+        F.coalesce(
+            F.max(F.when(F.col("sod") == F.col("break_sod"), brk)), F.min_by(brk, F.when(crossing, F.col("sod")))
+        ).alias("b"),
         n(in_pivot).alias("v_bars"),
         n(in_pivot & F.col("overlaps") & (F.col("prev_sod") > F.col("break_sod"))).alias("v_overlaps"),
         n(in_pivot & fails).alias("v_fails"),
@@ -201,9 +185,7 @@ def window_stats(anch: DataFrame, ctx: DataFrame, key: list[str]) -> DataFrame:
         n(in_seq).alias("q_bars"),
         F.sum(F.when(in_seq, F.col("body"))).alias("q_body"),
         n(in_seq & with_dir).alias("q_with"),
-        F.array_sort(
-            F.collect_list(F.when(in_seq, F.struct("sod", with_dir.alias("d"))))
-        ).alias("q_run"),
+        F.array_sort(F.collect_list(F.when(in_seq, F.struct("sod", with_dir.alias("d"))))).alias("q_run"),
         n(in_recent & (F.col("side") != 0)).alias("r_moves"),
         n(in_recent).alias("r_bars"),
         n(
@@ -212,6 +194,10 @@ def window_stats(anch: DataFrame, ctx: DataFrame, key: list[str]) -> DataFrame:
         ).alias("r_turns"),
         n(in_recent & F.col("overlaps") & (F.col("pos") - 1 > F.col("t_pos") - RECENT)).alias("r_overlaps"),
     )
+    return agg.select(
+        *group, *[F.col("t")[x].alias("t_" + x) for x in TRIGGER_COLS], *[F.col("b")[x].alias("b_" + x) for x in BREAK_COLS],
+        *[x for x in agg.columns if x not in (*group, "t", "b")],
+    )
 
 
 def longest_run(flags: Column) -> Column:
@@ -228,10 +214,9 @@ def longest_run(flags: Column) -> Column:
 def feature_matrix(bars: DataFrame, cands: DataFrame, spec: SessionSpec, key: list[str] | None = None) -> DataFrame:
     """One wide row per candidate; ``cands`` are finalized candidates."""
     key = key or ["candidate_id"]
-    cands = cands.dropDuplicates(key)
-    ctx = bar_context(bars, spec)
-    anch = anchored(cands, ctx, key)
-    f = anch.join(window_stats(anch, ctx, key), key).join(session_gaps(bars), SESSION_KEY)
+    cands = first_per_id(cands, key)
+    facts = candidate_bars(cands, bar_context(bars, spec), key)
+    f = cands.join(facts, [*SESSION_KEY, *key]).join(session_gaps(bars), SESSION_KEY)
     long = F.col("direction") == "long"
     width = F.greatest(F.col("zone_width"), F.lit(spec.min_points))
     pos = lambda x: F.greatest(x, F.lit(0.0))
@@ -346,7 +331,7 @@ def feature_matrix(bars: DataFrame, cands: DataFrame, spec: SessionSpec, key: li
 def recomputed_break_context(bars: DataFrame, cands: DataFrame, spec: SessionSpec, key: list[str] | None = None) -> DataFrame:
     """Break context from bars alone, for candidates that carry no trace."""
     key = key or ["candidate_id"]
-    cands = cands.dropDuplicates(key)
+    cands = first_per_id(cands, key)
     long = F.col("direction") == "long"
     crossing = F.when(long, F.col("high") > F.col("zone_high")).otherwise(F.col("low") < F.col("zone_low"))
     c = cands.select(*SESSION_KEY, *key, "direction", "break_sod", "trigger_sod", "entry_price", "zone_high", "zone_low", "zone_width")

@@ -18,26 +18,32 @@ def entry_numbers(events: DataFrame, numbered: DataFrame, time: str = "decision_
     Events and bars of a session are stacked; the bars already passed are
     counted.  An event after the last bar lands on the next session's first.
     """
-    marks = numbered.select(*SESSION_KEY, F.col("sod").alias("__t"), F.lit(1).alias("__side"), F.lit(1).alias("__bar"),
-                            F.lit(None).cast("string").alias("__id"))
-    base = numbered.groupBy(*SESSION_KEY).agg(
-        F.min("bar_no").alias("__first"), F.max("session_last_no").alias("session_last_no")
+    marks = numbered.select(
+        *SESSION_KEY, F.col("sod").alias("__t"), F.lit(1).alias("__side"), F.lit(1).alias("__bar"), "bar_no", "session_last_no",
+        F.lit(None).cast("string").alias("__id"),
     )
-    asks = events.select(*SESSION_KEY, F.col(time).alias("__t"), F.lit(0).alias("__side"), F.lit(0).alias("__bar"),
-                         F.col("event_key").alias("__id"))
-    w = W.partitionBy(*SESSION_KEY).orderBy("__t", "__side").rangeBetween(W.unboundedPreceding, W.currentRow)
-    passed = (
+    asks = events.select(
+        *SESSION_KEY, F.col(time).alias("__t"), F.lit(0).alias("__side"), F.lit(0).alias("__bar"), F.lit(None).cast("bigint").alias("bar_no"),
+        F.lit(None).cast("bigint").alias("session_last_no"), F.col("event_key").alias("__id"),
+    )
+    w = W.partitionBy(*SESSION_KEY).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*SESSION_KEY)
+    found = (
         marks.unionByName(asks)
-        .withColumn("__passed", F.sum("__bar").over(w))
+        .withColumns(
+            {
+                "__passed": F.sum("__bar").over(w),
+                "__first": F.min("bar_no").over(whole),
+                "__last": F.max("session_last_no").over(whole),
+            }
+        )
         .filter(F.col("__side") == 0)
-        .select(*SESSION_KEY, F.col("__id").alias("event_key"), "__passed")
-    )
-    return (
-        events.join(passed, [*SESSION_KEY, "event_key"])
-        .join(base, SESSION_KEY)
-        .withColumn("start_no", F.col("__first") + F.col("__passed"))
-        .drop("__first", "__passed")
+        .select(
+            *SESSION_KEY, F.col("__id").alias("event_key"), (F.col("__first") + F.col("__passed")).alias("start_no"),
+            F.col("__last").alias("session_last_no"),
+        )
     )
+    return events.join(found, [*SESSION_KEY, "event_key"])
 
 
 def triple_barrier(

@@ -10,16 +10,14 @@ from barloom.operators import exits as E
 from barloom.operators import features as X
 from barloom.operators import labels as L
 from barloom.operators import matching as M
-from barloom.operators.calibration import feature_validation, top_correlated
-from barloom.operators.diagnostics import structure_families, failure_taxonomy
+from barloom.operators.calibration import feature_validation
+from barloom.operators.diagnostics import structure_families
 from barloom.operators.indicators import recursive_indicators, rolling_indicators, snapshot
-from barloom.operators.market_state import leakage_audit
 from barloom.plans import oracle_sql as O
 from barloom.plans.registry import query
 from barloom.plans.study_queries import _cands, _out
 from barloom.plans.tables import STUDY, study_bars
-from barloom.functions.columns import iso
-from barloom.schemas import SESSION_KEY
+from barloom.session import cut
 
 _BASE = f"WITH {O.canonical()}, {O.UNIQUE}"
 _PRE = """pre AS (SELECT c.candidate_id, c.direction, c.break_sod, c.trigger_sod, c.pivot_sod, c.entry_price, c.pivot_price, c.flem_price, c.zone_high, c.zone_low, greatest(c.zone_width, 0.25) AS zw,
@@ -28,7 +26,7 @@ _PRE = """pre AS (SELECT c.candidate_id, c.direction, c.break_sod, c.trigger_sod
 
 
 def _matrix(spark, d):
-    return X.feature_matrix(study_bars(spark, d), _cands(spark, d), STUDY)
+    return X.feature_matrix(study_bars(spark, d), cut(_cands(spark, d)), STUDY)
 
 
 def _pick(spark, d, cols):
@@ -179,19 +177,18 @@ def structure_lab_families(spark, d):
 
 def _labelled(spark, d):
     """Candidates with their labels; one row per candidate id."""
-    c = _cands(spark, d)
+    c = cut(_cands(spark, d))
     lab = L.triple_barrier(study_bars(spark, d), c, STUDY).select(
         "candidate_id", "label", "outcome", "pnl_r", "stop_price", "target_price", "bars_held", "mfe", "mae", "exit_time"
     )
-    from barloom.functions.stats import top_k
-
-    return top_k(c, ["candidate_id"], [F.col("break_sod")], 1).join(lab, "candidate_id")
+    # several aggregates read the labelled entries: store them once
+    return cut(C.first_per_id(c).join(lab, "candidate_id"))
 
 
 @query("feature_validation_candidates", None)
 def feature_validation_candidates(spark, d):
     """Validation of the whole candidate feature matrix."""
-    m = _matrix(spark, d)
+    m = cut(_matrix(spark, d))
     lab = L.triple_barrier(study_bars(spark, d), _cands(spark, d), STUDY).select("candidate_id", "label")
     cols = [c for c in m.columns if c not in ("candidate_id", "symbol", "session_date", "direction", "setup_subtype")]
     return _out(feature_validation(m.join(lab, "candidate_id"), cols))
@@ -301,7 +298,7 @@ def _entries(spark, d):
 
 
 def _replay(spark, d, names=None):
-    return E.replay_exits(study_bars(spark, d), _entries(spark, d), STUDY, policies=E.policy_table(spark, names))
+    return cut(E.replay_exits(study_bars(spark, d), _entries(spark, d), STUDY, policies=E.policy_table(spark, names)))
 
 
 @query("exit_policy_replay")
@@ -384,7 +381,7 @@ px AS (SELECT *, CASE WHEN mae_r <= -0.75 AND ta <= 3 AND mfe_r < 0.35 THEN 'fas
 
 
 def _paths(spark, d):
-    return EP.path_diagnostics(study_bars(spark, d), _labelled(spark, d), STUDY)
+    return cut(EP.path_diagnostics(study_bars(spark, d), _labelled(spark, d), STUDY))
 
 
 @query("path_diagnostics", f"{_PATH} SELECT candidate_id, {O.r6('pnl_r')}, {O.r6('mfe_r')}, {O.r6('mae_r')}, CAST(tm AS INT) AS time_to_mfe_bars, CAST(ta AS INT) AS time_to_mae_bars, {O.r6('ft', 'follow_through_persistence')}, {O.r6('td', 'tempo_decay')}, {O.r6('vc', 'volatility_collapse')}, {O.r6('rv', 'reversal_behavior')}, {O.r6('al', 'alternating_bar_ratio_path')}, {O.r6('greatest(0, least(1, (ft + greatest(mfe_r, 0) / 1.5 + (1 - rv)) / 3))', 'continuation_quality_after_entry')}, tax AS trade_outcome_taxonomy FROM px")
