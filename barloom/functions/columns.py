@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Shift that keeps decimal ties from rounding by the order of a sum.
+TIE = 1e-9
+
+
 def c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
 def r6(x) -> Column:
-    """Round for output; the added zero turns -0.0 into 0.0."""
-    return F.round(c(x), 6) + F.lit(0.0)
+    """Round for output; see ``round_doubles``."""
+    return F.round(c(x) + TIE, 6) + F.lit(0.0)
 
 
 def ratio(num, den, default: float | None = 0.0) -> Column:
@@ -65,10 +69,14 @@ def iso(session_date, sod) -> Column:
 
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column for stable output."""
+    """Round every double column for stable output.
+
+    A tie in the last place would round by the order in which a sum was added;
+    the shift moves ties away, and the added zero turns -0.0 into 0.0.
+    """
     return df.select(
         *[
-            (F.round(F.col(f.name), places) + F.lit(0.0)).alias(f.name)
+            (F.round(F.col(f.name) + TIE, places) + F.lit(0.0)).alias(f.name)
             if f.dataType.typeName() in ("double", "float")
             else F.col(f.name)
             for f in df.schema.fields

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _NEVER = -(1 << 62)
+#: Days per slice of a run: few enough rows for one task, many enough to pay for it.
+SLICE_DAYS = 64
 
 
 def _step_function(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -64,7 +66,7 @@ def non_overlapping(trades: DataFrame, *, run: list[str], entry: str, exit_: str
     runs = F.concat_ws("\u0001", *[F.col(x).cast("string") for x in run]) if run else F.lit("")
     t = trades.select(
         runs.alias("__run"), F.col(key).alias("__id"), micros(entry).alias("__in"), micros(exit_).alias("__out"),
-        F.unix_date(F.col(entry).cast("date")).alias("__slice"),
+        F.floor(F.unix_date(F.col(entry).cast("date")) / SLICE_DAYS).cast("int").alias("__slice"),
     )
     # at one instant nothing after the first trade of positive length can be kept
     first = t.filter(F.col("__out") > F.col("__in")).groupBy("__run", "__slice", "__in").agg(

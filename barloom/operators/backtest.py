@@ -12,6 +12,7 @@ from barloom.functions.intervals import non_overlapping
 from barloom.functions.scan import running
 from barloom.operators.policies import allow_signal, position_size, regime_multiplier
 from barloom.schemas import TRADE_REQUIRED, require_columns
+from barloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -140,6 +141,12 @@ def backtest_summary(signals: DataFrame, executed: DataFrame, run: list[str]) ->
     return out.fillna(0, ["trade_count", "overlap_skips", "session_count", "positive_sessions", "negative_sessions"])
 
 
+def run_backtest(signals: DataFrame, run: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(executed trades, summary); the trade list is stored once, four aggregates read it."""
+    executed = cut(executed_trades(signals, run))
+    return executed, backtest_summary(signals, executed, run)
+
+
 def stitched_summary(preds: DataFrame, thresholds: DataFrame, key: str = "candidate_id") -> DataFrame:
     """Performance of all signals per threshold: no overlap rule, no slippage.
 
@@ -184,7 +191,7 @@ def translation_grid(
         regime_size=F.col("regime_size"), fill=fill,
     )
     run = ["threshold", "mode"]
-    summary = backtest_summary(s, executed_trades(s, run), run).withColumn(
+    summary = run_backtest(s, run)[1].withColumn(
         "utility_score", F.when(F.col("trade_count") > 0, utility())
     )
     z = lambda name, col, mode: F.max(F.when(F.col("mode") == mode, F.col(col))).alias(name)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from barloom.functions.columns import ladder, num0
 from barloom.functions.scan import running
-from barloom.operators.backtest import Fill, backtest_summary, executed_trades, sized_signals, utility
+from barloom.operators.backtest import Fill, run_backtest, sized_signals, utility
 from barloom.operators.policies import break_quality, reclaim_meta
 
 # fixed values: configured search spaces: family -> (trial cap, ordered axes)
@@ -81,7 +81,7 @@ def grid_backtest(preds: DataFrame, grid: DataFrame, *, run: str = "trial", fill
         preds.crossJoin(F.broadcast(grid)), threshold="decision_threshold", sizing=pick("sizing_policy", "binary_threshold_v1"),
         throttle=pick("regime_throttle_policy", "none"), regime_size=pick("regime_size_policy", "none"), fill=fill,
     )
-    out = backtest_summary(s, executed_trades(s, [run]), [run])
+    out = run_backtest(s, [run])[1]
     return grid.join(out, run, "left").withColumn("utility_score", F.when(F.coalesce("trade_count", F.lit(0)) > 0, utility()))
 
 
@@ -98,7 +98,7 @@ def meta_cycle(preds: DataFrame, threshold: float, *, regime_size: str = "none",
 
 
 def _policy_rows(s: DataFrame, run: str) -> DataFrame:
-    out = backtest_summary(s, executed_trades(s, [run]), [run])
+    out = run_backtest(s, [run])[1]
     return out.select(
         run, "trade_count", "total_pnl_r", "avg_trade_r", "max_drawdown_r", F.when(F.col("trade_count") > 0, utility()).alias("utility_score")
     )
