@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, ladder, num0, ratio
 from barloom.functions.stats import exact_quantiles, unpivot_numeric
+from barloom.session import cut
 
 # fixed values: domains
 MARKET_STATES = [
@@ -149,7 +150,9 @@ def market_features(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame
     """Twelve normalized scores, eight composites and the clarity score.
 
     Three passes, because composites normalize scores that are themselves
-    normalized: inputs, then scores, then composites.
+    normalized: inputs, then scores, then composites.  Each pass is stored:
+    the next one reads it twice (bounds and rows), and merging the three
+    projections would nest every expression in every other.
     """
     ref = df if fit_on is None else fit_on
     present = set(df.columns)
@@ -166,7 +169,7 @@ def market_features(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame
                 cols[name] = F.when(known, _normalized(name)).otherwise(fallback)
             else:
                 cols[name] = fallback
-        return j.withColumns(cols).drop("__q")
+        return cut(j.withColumns(cols).drop("__q"))
 
     q1 = bounds(ref, inputs)
     one, ref1 = scores(df, q1), None if fit_on is None else scores(fit_on, q1)
@@ -177,7 +180,7 @@ def market_features(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame
 
     def composites(d: DataFrame) -> DataFrame:
         j = d.crossJoin(F.broadcast(q2))
-        return j.withColumns({n: mean_score(xs, inv, have) for n, (xs, inv) in COMPOSITE.items()}).drop("__q")
+        return cut(j.withColumns({n: mean_score(xs, inv, have) for n, (xs, inv) in COMPOSITE.items()}).drop("__q"))
 
     two = composites(one)
     base2 = two if ref1 is None else composites(ref1)

@@ -3,6 +3,6 @@
 
 def all_queries():
     """(queries, oracles) of every query module."""
-    from barloom.plans import feature_queries, registry, study_queries, trade_queries  # noqa: F401
+    from barloom.plans import evaluation_queries, feature_queries, registry, study_queries, trade_queries  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES
