@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from barloom.functions.columns import c, ratio
 from barloom.functions.scan import numeric_bucket, running
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function; Spark SQL has none."""
     cdf = NormalDist().cdf

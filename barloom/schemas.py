@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import types as T
-
 OHLCV = ("open", "high", "low", "close", "volume")
 SESSION_KEY = ["symbol", "session_date"]
 
@@ -43,10 +41,6 @@ class SessionSpec:
         return replace(self, zone_end=zone_end, decision=decision)
 
 
-def _struct(*cols: tuple[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in cols])
-
-
 BAR_COLUMNS = {
     "symbol": "string",
     "session_date": "date",
