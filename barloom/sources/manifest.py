@@ -41,9 +41,9 @@ def select_source(manifest: DataFrame, timeframe: str = "30s", role: str | None
     A boundary role narrows the choice when it has any source at all.
     """
     m = manifest.filter(F.col("timeframe") == timeframe)
-    fits = F.coalesce((F.col("boundary_role") == role).cast("int"), F.lit(0)) if role else F.lit(0)
+    fits = [F.coalesce(F.col("boundary_role") == role, F.lit(False)).desc()] if role else []
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return m.orderBy(fits.desc(), z("stage2_priority").desc(), z("sessions").desc(), z("rows").desc(), "source_path").limit(1)
+    return m.orderBy(*fits, z("stage2_priority").desc(), z("sessions").desc(), z("rows").desc(), "source_path").limit(1)
 
 
 def boundary_role(sources: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -37,14 +37,11 @@ def stream_attempts(events: DataFrame, spec: SessionSpec, *, buffer: float = 0.0
     """Attempts from a stream of zone-tagged events, state per (symbol, session).
 
     Each micro-batch must carry events in completion order per session, which
-    is how bars arrive; the state is dropped when a session goes quiet.
+    is how bars arrive; the state of a session is dropped with its last bar.
     """
     names = [x.strip().split(" ")[0] for x in ATTEMPT_DDL.split(",")]
 
     def advance(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
         s = Break(*[v if not pd.isna(v) else None for v in state.get]) if state.exists else Break()
         out = []
         pdf = pd.concat(list(frames))
@@ -53,10 +50,13 @@ def stream_attempts(events: DataFrame, spec: SessionSpec, *, buffer: float = 0.0
             hit = step(s, ev, spec, buffer=buffer, cap=cap)
             if hit:
                 out.append({"symbol": key[0], "session_date": key[1], **hit})
-        state.update(tuple(asdict(s).values()))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if pdf["t"].max() >= spec.session_end:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(asdict(s).values()))
         yield pd.DataFrame(out, columns=names)
 
     return events.groupBy("symbol", "session_date").applyInPandasWithState(
-        advance, ATTEMPT_DDL, _STATE_DDL, "append", GroupStateTimeout.ProcessingTimeTimeout
+        advance, ATTEMPT_DDL, _STATE_DDL, "append", GroupStateTimeout.NoTimeout
     )
