@@ -20,15 +20,25 @@ _NEVER = -(1 << 62)
 SLICE_DAYS = 64
 
 
-def _step_function(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["__in", "__id"], kind="stable")
+def _ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[int]]:
+    """Rows by entry, their entries, and for each row the next one it allows.
+
+    At one instant only the last row has positive length, so ordering by
+    (entry, exit) is the trade order.
+    """
+    pdf = pdf.iloc[np.lexsort((pdf["__out"].to_numpy(), pdf["__in"].to_numpy()))]
     start, end = pdf["__in"].to_numpy(), pdf["__out"].to_numpy()
-    n = len(start)
-    follow = np.maximum(np.searchsorted(start, end, side="left"), np.arange(n) + 1)
-    tail = end.copy()
+    follow = np.maximum(np.searchsorted(start, end, side="left"), np.arange(len(pdf)) + 1)
+    return pdf, start, follow.tolist()
+
+
+def _step_function(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, start, follow = _ordered(pdf)
+    n, tail = len(pdf), pdf["__out"].tolist()
     for i in range(n - 1, -1, -1):
         if follow[i] < n:
             tail[i] = tail[follow[i]]
+    tail = np.asarray(tail)
     # one step per run of equal tails, valid for every busy time up to its last entry
     edge = np.append(tail[1:] != tail[:-1], True)
     return pd.DataFrame({"__run": pdf["__run"].iloc[0], "__slice": pdf["__slice"].iloc[0],
@@ -46,14 +56,13 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _select(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["__in", "__id"], kind="stable")
-    busy, keep = int(pdf["__busy"].iloc[0]), []
-    for a, b in zip(pdf["__in"].to_numpy(), pdf["__out"].to_numpy()):
-        ok = a >= busy
-        keep.append(ok)
-        if ok:
-            busy = b
-    return pdf.loc[keep, ["__run", "__id"]]
+    busy = int(pdf["__busy"].iloc[0])
+    pdf, start, follow = _ordered(pdf)
+    keep, i = [], int(np.searchsorted(start, busy, side="left"))
+    while i < len(pdf):
+        keep.append(i)
+        i = follow[i]
+    return pdf.iloc[keep][["__run", "__id"]]
 
 
 def non_overlapping(trades: DataFrame, *, run: list[str], entry: str, exit_: str, key: str) -> DataFrame:

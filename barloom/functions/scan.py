@@ -111,3 +111,32 @@ def running(
         else:
             out[name] = F.coalesce(w, k)
     return joined.select(*df.columns, *[v.alias(n) for n, v in out.items()])
+
+
+def running_drawdown(df: DataFrame, by: list[str], order: list[str], value: str, *, floor_zero: bool = True) -> DataFrame:
+    """Add ``cum_pnl_r`` and ``drawdown_r`` along ``order`` per ``by`` in one pass.
+
+    A bucket is summarised by its sum and the peak of its own running sum; both
+    carries follow from the small bucket table.  With ``floor_zero`` the peak
+    starts at 0, otherwise at the first cumulative value.
+    """
+    buckets: dict[str, Column] = {}
+    for i, name in enumerate(order):
+        b = _bucket(df, name, i == 0)
+        if b is None:
+            break
+        buckets[f"__b{i}"] = b
+        if i == 0 and df.schema[name].dataType.typeName() != "date":
+            break
+    names = list(buckets)
+    inner = W.partitionBy(*by, *names).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumns(buckets).withColumn("__cum", F.sum(value).over(inner)).withColumn("__top", F.max("__cum").over(inner))
+    outer = W.partitionBy(*by).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
+    table = rows.groupBy(*by, *names).agg(F.sum(value).alias("__s"), F.max("__cum").alias("__m"))
+    table = table.withColumn("__c", F.coalesce(F.sum("__s").over(outer), F.lit(0.0)))
+    table = table.withColumn("__p", F.max(F.col("__c") + F.col("__m")).over(outer))
+    carry = table.select(*[F.col(x).alias(f"__k_{x}") for x in by + names], "__c", "__p")
+    on = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__k_{x}")) for x in by + names])
+    cum = F.col("__c") + F.col("__cum")
+    peak = F.greatest(F.col("__c") + F.col("__top"), F.col("__p"), *([F.lit(0.0)] if floor_zero else []))
+    return rows.join(carry, on, "left").select(*df.columns, cum.alias("cum_pnl_r"), (cum - peak).alias("drawdown_r"))

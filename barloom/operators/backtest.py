@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import c, num0, ratio
 from barloom.functions.intervals import non_overlapping
-from barloom.functions.scan import running
+from barloom.functions.scan import running, running_drawdown
 from barloom.operators.policies import allow_signal, position_size, regime_multiplier
 from barloom.schemas import TRADE_REQUIRED, require_columns
 from barloom.session import cut
@@ -87,10 +87,7 @@ def executed_trades(signals: DataFrame, run: list[str], key: str = "candidate_id
 
 def equity_curve(trades: DataFrame, run: list[str], pnl: str, order: list[str], *, floor_zero: bool = True) -> DataFrame:
     """Cumulative result and drawdown; the peak starts at 0 unless told not to."""
-    cum = running(trades, run, order, {"cum_pnl_r": ("sum", pnl)})
-    top = running(cum, run, order, {"__peak": ("max", "cum_pnl_r")})
-    peak = F.greatest(F.col("__peak"), F.lit(0.0)) if floor_zero else F.col("__peak")
-    return top.withColumn("drawdown_r", F.col("cum_pnl_r") - peak).drop("__peak")
+    return running_drawdown(trades, run, order, pnl, floor_zero=floor_zero)
 
 
 def session_rollup(trades: DataFrame, run: list[str], pnl: str = "executed_pnl_r") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip, ladder, num0, ratio
 from barloom.functions.stats import exact_quantiles, unpivot_numeric
-from barloom.session import cut
 
 # fixed values: domains
 MARKET_STATES = [
@@ -110,23 +109,14 @@ FOLLOWTHROUGH = [
 ]
 
 
-def bounds(df: DataFrame, cols: list[str]) -> DataFrame:
-    """5th and 95th percentile of every column, as one row of two maps.
+def bounds(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
+    """5th and 95th percentile of every column: two numbers per feature column.
 
     Fit on all rows (the default convention) or on a training slice, which
     keeps the scores point-in-time.
     """
     q = exact_quantiles(unpivot_numeric(df, [], cols), ["feature"], "value", {"lo": 0.05, "hi": 0.95})
-    # one entry per feature column
-    return q.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi")))).alias("__q"))
-
-
-def _normalized(name: str) -> Column:
-    x = F.col(name).cast("double")
-    x = F.when(~F.isnan(x), x)
-    b = F.element_at(F.col("__q"), F.lit(name))
-    flat = b["hi"] == b["lo"]
-    return F.when(flat, F.when(x.isNotNull(), 0.5)).otherwise(clip_null((x - b["lo"]) / F.nullif(b["hi"] - b["lo"], F.lit(0.0))))
+    return {r["feature"]: (r["lo"], r["hi"]) for r in q.collect()}
 
 
 def clip_null(x: Column) -> Column:
@@ -134,60 +124,55 @@ def clip_null(x: Column) -> Column:
     return F.when(x.isNotNull(), clip(x, 0.0, 1.0))
 
 
-def _row_mean(parts: list[Column]) -> Column:
-    n = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
-    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
-    return F.when(n > 0, total / n)
+def _normalized(name: str, q: dict[str, tuple[float, float]]) -> Column:
+    x = F.col(name).cast("double")
+    x = F.when(~F.isnan(x), x)
+    if name not in q:
+        return F.lit(None).cast("double")
+    lo, hi = q[name]
+    return F.when(x.isNotNull(), 0.5) if hi == lo else clip_null((x - F.lit(lo)) / F.lit(hi - lo))
+
 
+def with_scores(df: DataFrame, specs: dict[str, tuple[list[str], list[str]]], q: dict) -> DataFrame:
+    """Add row means of normalized inputs, skipping nulls and absent columns.
 
-def mean_score(names: list[str], invert: list[str], present: set[str]) -> Column:
-    """Row mean of normalized inputs, skipping nulls and absent columns."""
-    parts = [1.0 - _normalized(x) if x in invert else _normalized(x) for x in names if x in present]
-    return _row_mean(parts) if parts else F.lit(None).cast("double")
+    Inputs are normalized once into their own columns; the means only refer to
+    those, so expressions stay small.
+    """
+    names = sorted({x for xs, _ in specs.values() for x in xs} & set(df.columns))
+    work = df.withColumns({f"__n_{x}": _normalized(x, q) for x in names})
+    out = {}
+    for target, (xs, inv) in specs.items():
+        parts = [1.0 - F.col(f"__n_{x}") if x in inv else F.col(f"__n_{x}") for x in xs if x in names]
+        out[target] = F.aggregate(
+            F.array_compact(F.array(*parts)), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+            lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")),
+            lambda a: F.when(a["n"] > 0, a["s"] / a["n"]),
+        ) if parts else F.lit(None).cast("double")
+    return work.withColumns(out).drop(*[f"__n_{x}" for x in names])
 
 
 def market_features(df: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     """Twelve normalized scores, eight composites and the clarity score.
 
     Three passes, because composites normalize scores that are themselves
-    normalized: inputs, then scores, then composites.  Each pass is stored:
-    the next one reads it twice (bounds and rows), and merging the three
-    projections would nest every expression in every other.
+    normalized: inputs, then scores, then composites.  Each pass fits two
+    numbers per column; an expensive input should be stored by the caller.
     """
-    ref = df if fit_on is None else fit_on
     present = set(df.columns)
     inputs = sorted(({x for xs, _ in FALLBACK.values() for x in xs} | set(FALLBACK)) & present)
-
-    def scores(d: DataFrame, q: DataFrame) -> DataFrame:
-        j = d.crossJoin(F.broadcast(q))
-        cols = {}
-        for name, (xs, inv) in FALLBACK.items():
-            fallback = mean_score(xs, inv, present)
-            if name in present:
-                # the preferred column is used unless it is entirely null
-                known = F.element_at(F.col("__q"), F.lit(name)).isNotNull()
-                cols[name] = F.when(known, _normalized(name)).otherwise(fallback)
-            else:
-                cols[name] = fallback
-        return cut(j.withColumns(cols).drop("__q"))
-
-    q1 = bounds(ref, inputs)
-    one, ref1 = scores(df, q1), None if fit_on is None else scores(fit_on, q1)
-    base = one if ref1 is None else ref1
-    have = set(one.columns)
-    need = sorted({x for xs, _ in COMPOSITE.values() for x in xs} & have)
-    q2 = bounds(base, need)
-
-    def composites(d: DataFrame) -> DataFrame:
-        j = d.crossJoin(F.broadcast(q2))
-        return cut(j.withColumns({n: mean_score(xs, inv, have) for n, (xs, inv) in COMPOSITE.items()}).drop("__q"))
-
-    two = composites(one)
-    base2 = two if ref1 is None else composites(ref1)
-    q3 = bounds(base2, CLARITY[0])
-    return two.crossJoin(F.broadcast(q3)).withColumn(
-        "msq_auction_clarity", mean_score(CLARITY[0], CLARITY[1], set(two.columns))
-    ).drop("__q")
+    q1 = bounds(df if fit_on is None else fit_on, inputs)
+    # the preferred column is used unless it is absent or entirely null
+    first = {n: ([n], []) if n in q1 else spec for n, spec in FALLBACK.items()}
+
+    def scores(d: DataFrame) -> DataFrame:
+        return with_scores(d, first, q1)
+
+    one, ref = scores(df), scores(df if fit_on is None else fit_on)
+    q2 = bounds(ref, sorted({x for xs, _ in COMPOSITE.values() for x in xs} & set(one.columns)))
+    two, ref = with_scores(one, COMPOSITE, q2), with_scores(ref, COMPOSITE, q2)
+    q3 = bounds(ref, CLARITY[0])
+    return with_scores(two, {"msq_auction_clarity": CLARITY}, q3)
 
 
 def assign_states(df: DataFrame) -> DataFrame:

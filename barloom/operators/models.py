@@ -33,7 +33,7 @@ def balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.crossJoin(F.broadcast(n)).withColumn("weight", w).drop("n", "pos")
 
 
-def fit_classifier(train: DataFrame, cols: list[str], family: str = "linear_baseline", label: str = "label", rows: int | None = None) -> PipelineModel:
+def fit_classifier(train: DataFrame, cols: list[str], family: str = "linear_baseline", label: str = "label", rows: int | None = None, rounds: int = 200) -> PipelineModel:
     """Median impute, standardize, balanced logistic; or median impute, boosted trees.
 
     The logistic penalty 1/n with class weights that sum to n is the usual
@@ -46,7 +46,7 @@ def fit_classifier(train: DataFrame, cols: list[str], family: str = "linear_base
     imputer = Imputer(strategy="median", inputCols=cols, outputCols=filled, relativeError=0.001)
     vector = VectorAssembler(inputCols=filled, outputCol="raw")
     if family == "gbm":
-        tail = [GBTClassifier(labelCol=label, featuresCol="raw", maxDepth=4, stepSize=0.05, maxIter=200, seed=42)]
+        tail = [GBTClassifier(labelCol=label, featuresCol="raw", maxDepth=4, stepSize=0.05, maxIter=rounds, seed=42)]
     else:
         data = balanced_weights(data, label)
         n = rows or data.count()
