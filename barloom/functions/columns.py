@@ -82,3 +82,38 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+#: Most rows a configured table (policies, thresholds, paths) may have.
+MAX_CONFIG_ROWS = 1024
+
+
+def fan_out(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Every row of ``df`` once per row of a configured table, without a join.
+
+    The table is configuration (policies, thresholds, label settings); its
+    rows become literals of an exploded array.  A larger table is refused.
+    """
+    rows = table.limit(MAX_CONFIG_ROWS + 1).collect()
+    if len(rows) > MAX_CONFIG_ROWS:
+        raise ValueError(f"configured table has more than {MAX_CONFIG_ROWS} rows")
+
+    def lit(value, kind):
+        if isinstance(value, list):
+            return F.array(*[F.lit(v) for v in value]).cast(kind)
+        return F.lit(value).cast(kind)
+
+    fields = table.schema.fields
+    if not rows:
+        return df.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    options = F.array(*[F.struct(*[lit(r[f.name], f.dataType).alias(f.name) for f in fields]) for r in rows])
+    return df.withColumn("__o", F.explode(options)).select(*df.columns, *[F.col("__o")[f.name].alias(f.name) for f in fields])
+
+
+def fan_out_small(df: DataFrame, small: DataFrame) -> DataFrame:
+    """Like ``fan_out`` for a few rows that are computed from data (paths, names).
+
+    The rows travel as one array in one broadcast row.
+    """
+    packed = small.agg(F.collect_list(F.struct(*small.columns)).alias("__s"))
+    return df.crossJoin(F.broadcast(packed)).withColumn("__o", F.explode("__s")).select(*df.columns, "__o.*")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import c, num0, ratio
+from barloom.functions.columns import c, fan_out, num0, ratio
 from barloom.functions.intervals import non_overlapping
 from barloom.functions.scan import running, running_drawdown
 from barloom.operators.policies import allow_signal, position_size, regime_multiplier
@@ -149,7 +149,7 @@ def stitched_summary(preds: DataFrame, thresholds: DataFrame, key: str = "candid
 
     The running peak starts at the first cumulative value, not at 0.
     """
-    t = preds.filter(F.col("entry_time").isNotNull()).crossJoin(F.broadcast(thresholds)).filter(
+    t = fan_out(preds.filter(F.col("entry_time").isNotNull()), thresholds).filter(
         F.col("probability") >= F.col("threshold")
     )
     curve = equity_curve(t, ["threshold"], "pnl_r", ["entry_time", key], floor_zero=False)
@@ -182,9 +182,9 @@ def translation_grid(
         [("sized", sizing, throttle, regime_size), ("binary", "binary_threshold_v1", "none", "none")],
         "mode string, sizing string, throttle string, regime_size string",
     )
-    grid = thresholds.crossJoin(modes)  # thresholds x 2 rows
+    grid = fan_out(thresholds, modes)
     s = sized_signals(
-        preds.crossJoin(F.broadcast(grid)), threshold="threshold", sizing=F.col("sizing"), throttle=F.col("throttle"),
+        fan_out(preds, grid), threshold="threshold", sizing=F.col("sizing"), throttle=F.col("throttle"),
         regime_size=F.col("regime_size"), fill=fill,
     )
     run = ["threshold", "mode"]

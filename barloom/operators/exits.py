@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from barloom.functions.asof import forward_window
-from barloom.functions.columns import iso, ladder, num0
+from barloom.functions.columns import fan_out, iso, ladder, num0
 from barloom.functions.scan import running
 from barloom.functions.stats import exact_quantiles, payoff_ratio
 from barloom.operators.backtest import Fill, equity_curve
@@ -174,25 +174,21 @@ def replay_exits(
     recent = num0("distance_to_recent_high_low") if "distance_to_recent_high_low" in cols else F.lit(0.0)
     recent = F.greatest(F.lit(0.5), F.least(F.when(recent == 0, 1.5).otherwise(recent), F.lit(1.5)))
     table = policy_table(bars.sparkSession) if policies is None else policies
-    j = (
-        ev.join(paths, key, "left")
-        .withColumns(
-            {
-                "path": F.coalesce("path", F.array().cast(paths.schema["path"].dataType)),
-                "e": sign * F.col("entry_price"),
-                "stop": sign * F.col("stop_price"),
-                "risk": F.greatest(F.abs(F.col("entry_price") - F.col("stop_price")), F.lit(spec.min_points)),
-                "own_target": sign * F.col("target_price"),
-                "recent_r": recent,
-            }
-        )
-        .crossJoin(F.broadcast(table))  # 18 rows at most
-        .withColumn(
-            "target",
-            F.when(F.col("target_r").isNull(), F.col("own_target"))
-            .when(F.col("target_r") == 0.0, F.col("e") + F.col("recent_r") * F.col("risk"))
-            .otherwise(F.col("e") + F.col("target_r") * F.col("risk")),
-        )
+    j = ev.join(paths, key, "left").withColumns(
+        {
+            "path": F.coalesce("path", F.array().cast(paths.schema["path"].dataType)),
+            "e": sign * F.col("entry_price"),
+            "stop": sign * F.col("stop_price"),
+            "risk": F.greatest(F.abs(F.col("entry_price") - F.col("stop_price")), F.lit(spec.min_points)),
+            "own_target": sign * F.col("target_price"),
+            "recent_r": recent,
+        }
+    )
+    j = fan_out(j, table).withColumn(
+        "target",
+        F.when(F.col("target_r").isNull(), F.col("own_target"))
+        .when(F.col("target_r") == 0.0, F.col("e") + F.col("recent_r") * F.col("risk"))
+        .otherwise(F.col("e") + F.col("target_r") * F.col("risk")),
     )
     j = j.withColumn("out", _fold(F.col("path")))
     n = F.size("path")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from barloom.functions.asof import forward_window
-from barloom.functions.columns import iso
+from barloom.functions.columns import fan_out, iso
 from barloom.operators.sessions import number_bars
 from barloom.schemas import SESSION_KEY, SessionSpec
 
@@ -73,7 +73,7 @@ def triple_barrier(
         )
         pol = []
     else:
-        ev = cands.crossJoin(F.broadcast(policies))
+        ev = fan_out(cands, policies)
         pol = ["label_policy"]
     group = [*key, *pol]
     ev = ev.dropDuplicates(group).withColumn("event_key", F.concat_ws("\u0001", *group))

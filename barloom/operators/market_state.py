@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import clip, ladder, num0, ratio
+from barloom.functions.columns import clip, fan_out, fan_out_small, ladder, num0, ratio
 from barloom.functions.stats import exact_quantiles, unpivot_numeric
 
 # fixed values: domains
@@ -260,7 +260,7 @@ def followthrough_gate() -> Column:
 def apply_gates(rows: DataFrame, gates: DataFrame | None = None) -> DataFrame:
     """Rows under every follow-through gate with weight and fill impact."""
     t = followthrough_table(rows.sparkSession) if gates is None else gates
-    return rows.crossJoin(F.broadcast(t)).withColumn("__g", followthrough_gate()).select(
+    return fan_out(rows, t).withColumn("__g", followthrough_gate()).select(
         *[F.col(x) for x in rows.columns], "variant", "gate",
         F.col("__g.weight").alias("policy_weight"), F.col("__g.fill_impact").alias("fill_impact_r"), F.col("__g.pit_valid").alias("pit_valid"),
     )
@@ -537,7 +537,7 @@ def replay_on_paths(path_rows: DataFrame, weights: DataFrame, run: str = "varian
     Path rows a policy does not know keep weight 1.
     """
     names = weights.select(run).distinct()
-    j = path_rows.select("path_id", key, F.col("executed_pnl_r").alias("p")).crossJoin(F.broadcast(names)).join(weights, [run, key], "left")
+    j = fan_out_small(path_rows.select("path_id", key, F.col("executed_pnl_r").alias("p")), names).join(weights, [run, key], "left")
     w, f = F.coalesce("policy_weight", F.lit(1.0)), F.coalesce("fill_impact_r", F.lit(0.0))
     return j.groupBy(run, "path_id").agg(
         F.sum("p").alias("baseline_total_pnl_r"), F.sum((F.col("p") + f) * w).alias("total_pnl_r"),

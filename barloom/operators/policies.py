@@ -1,8 +1,8 @@
 """Signal policies: gates, thresholds, sizing, regime rules.
 
 A policy is a row of a small configured table.  Gates are evaluated for every
-policy at once by joining predictions to the (broadcast) policy table, so one
-job covers a whole grid; the policy name is part of every later key.
+policy at once by fanning predictions out over the table, so one job covers a
+whole grid; the policy name is part of every later key.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import c, clip, hhmm, ladder, num0
+from barloom.functions.columns import c, clip, fan_out, hhmm, ladder, num0
 
 SCOPED_DEEP = ["balanced_reclaim_continuation", "deep_retrace_repair"]
 SCOPED_CLEAN = ["balanced_reclaim_continuation", "clean_break_continuation"]
@@ -113,7 +113,7 @@ def _in_scope() -> Column:
 def break_quality(preds: DataFrame, threshold: float, gates: DataFrame | None = None) -> DataFrame:
     """Predictions kept by each breakout-quality gate, tagged with ``gate``."""
     table = break_quality_table(preds.sparkSession) if gates is None else gates
-    kept = preds.filter(num0("probability") >= threshold).crossJoin(F.broadcast(table))
+    kept = fan_out(preds.filter(num0("probability") >= threshold), table)
     ok = ~_in_scope() | (_floor("break_efficiency_ratio", "min_eff") & _floor("break_body_fraction", "min_body"))
     return kept.filter(ok).drop("scope", "min_eff", "min_body")
 
@@ -126,7 +126,7 @@ def reclaim_meta(records: DataFrame, metas: DataFrame | None = None) -> DataFram
         & _floor("post_reclaim_close_strength", "min_post")
         & _floor("reclaim_body_strength", "min_body")
     )
-    return records.crossJoin(F.broadcast(table)).filter(ok).drop("scope", "min_close", "min_post", "min_body")
+    return fan_out(records, table).filter(ok).drop("scope", "min_close", "min_post", "min_body")
 
 
 def tail_cleanup(records: DataFrame, policy: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from barloom.functions.columns import ladder, ratio
+from barloom.functions.columns import fan_out_small, ladder, ratio
 from barloom.functions.scan import running
 
 
@@ -115,7 +115,7 @@ def cpcv_rows(
         zone = zones.groupBy("path_id").agg(F.array(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi"))).alias("zones"))
     # at most 28 paths with at most two zones each
     plan = paths.join(zone, "path_id")
-    tagged = grouped.crossJoin(F.broadcast(plan))
+    tagged = fan_out_small(grouped, plan)
     is_test = (F.col("session_group") == F.col("group_a")) | (F.col("session_group") == F.col("group_b"))
     near = F.exists(
         "zones", lambda z: (F.col("row_no") >= z["lo"] - horizon) & (F.col("row_no") <= z["hi"] + embargo_bars)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from barloom.functions.columns import ladder, num0
+from barloom.functions.columns import fan_out, ladder, num0
 from barloom.functions.scan import running
 from barloom.operators.backtest import Fill, run_backtest, sized_signals, utility
 from barloom.operators.policies import break_quality, reclaim_meta
@@ -78,7 +78,7 @@ def grid_backtest(preds: DataFrame, grid: DataFrame, *, run: str = "trial", fill
     cols = set(grid.columns)
     pick = lambda name, default: F.col(name) if name in cols else default
     s = sized_signals(
-        preds.crossJoin(F.broadcast(grid)), threshold="decision_threshold", sizing=pick("sizing_policy", "binary_threshold_v1"),
+        fan_out(preds, grid), threshold="decision_threshold", sizing=pick("sizing_policy", "binary_threshold_v1"),
         throttle=pick("regime_throttle_policy", "none"), regime_size=pick("regime_size_policy", "none"), fill=fill,
     )
     out = run_backtest(s, [run])[1]

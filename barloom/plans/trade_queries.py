@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import round_doubles
+from barloom.functions.columns import fan_out, round_doubles
 from barloom.operators import backtest as B
 from barloom.operators import policies as P
 from barloom.operators import replay as R
@@ -107,7 +107,7 @@ def _names(xs):
 def policy_position_size(spark, d):
     """Four sizing policies over all signals."""
     z = spark.createDataFrame([(x,) for x in P.SIZING], "sizing string")
-    s = setups(spark, d).crossJoin(F.broadcast(z)).withColumn("size", P.position_size(0.45, F.col("sizing")))
+    s = fan_out(setups(spark, d), z).withColumn("size", P.position_size(0.45, F.col("sizing")))
     return _out(s.groupBy("sizing").agg(F.count(F.when(F.col("size") > 0, 1)).alias("sized"), F.sum("size").alias("size_sum")))
 
 
@@ -115,7 +115,7 @@ def policy_position_size(spark, d):
 def policy_regime_throttle(spark, d):
     """Regime throttles."""
     z = spark.createDataFrame([(x,) for x in P.THROTTLE], "throttle string")
-    s = setups(spark, d).crossJoin(F.broadcast(z))
+    s = fan_out(setups(spark, d), z)
     return s.groupBy("throttle").agg(F.count(F.when(P.allow_signal(F.col("throttle")), 1)).alias("allowed"), F.count(F.lit(1)).alias("signals"))
 
 
@@ -123,7 +123,7 @@ def policy_regime_throttle(spark, d):
 def policy_regime_size(spark, d):
     """Regime size multipliers."""
     z = spark.createDataFrame([(x,) for x in P.REGIME_SIZE], "regime_size string")
-    return _out(setups(spark, d).crossJoin(F.broadcast(z)).groupBy("regime_size").agg(F.sum(P.regime_multiplier(F.col("regime_size"))).alias("size_sum")))
+    return _out(fan_out(setups(spark, d), z).groupBy("regime_size").agg(F.sum(P.regime_multiplier(F.col("regime_size"))).alias("size_sum")))
 
 
 @query("policy_missing_inputs", f"{W0} SELECT * FROM (SELECT 'break_efficiency_ratio' AS input, count(*) FILTER (WHERE break_efficiency_ratio IS NULL) AS missing FROM setups UNION ALL SELECT 'reclaim_close_location', count(*) FILTER (WHERE reclaim_close_location IS NULL) FROM setups)")
