@@ -55,6 +55,15 @@ def clip(x, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c(x), F.lit(float(lo))), F.lit(float(hi)))
 
 
+def micros(x, kind: str) -> Column:
+    """Microseconds of a time column; local times do not pass through a zone."""
+    t = c(x)
+    if kind == "timestamp":
+        return F.unix_micros(t)
+    whole = F.unix_date(F.to_date(t)).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+
+
 def hhmm(ts) -> Column:
     return F.date_format(c(ts), "HH:mm")
 

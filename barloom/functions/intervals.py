@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from barloom.functions.columns import micros
+
 _NEVER = -(1 << 62)
 #: Days per slice of a run: few enough rows for one task, many enough to pay for it.
 SLICE_DAYS = 64
@@ -71,10 +73,10 @@ def non_overlapping(trades: DataFrame, *, run: list[str], entry: str, exit_: str
     Trades are taken in (entry, key) order; one is kept when its entry is not
     before the exit of the last kept trade.
     """
-    micros = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
+    at = lambda x: micros(x, trades.schema[x].dataType.typeName())
     runs = F.concat_ws("\u0001", *[F.col(x).cast("string") for x in run]) if run else F.lit("")
     t = trades.select(
-        runs.alias("__run"), F.col(key).alias("__id"), micros(entry).alias("__in"), micros(exit_).alias("__out"),
+        runs.alias("__run"), F.col(key).alias("__id"), at(entry).alias("__in"), at(exit_).alias("__out"),
         F.floor(F.unix_date(F.col(entry).cast("date")) / SLICE_DAYS).cast("int").alias("__slice"),
     )
     # at one instant nothing after the first trade of positive length can be kept

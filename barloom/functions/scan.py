@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from barloom.functions.columns import micros
+
 #: Width of a time bucket in seconds.
 TIME_BUCKET = 6 * 3600
 #: Buckets per octave of a numeric order column.
@@ -34,7 +36,7 @@ def _bucket(df: DataFrame, name: str, first: bool) -> Column | None:
     kind = df.schema[name].dataType.typeName()
     x = F.col(name)
     if kind in ("timestamp", "timestamp_ntz"):
-        return F.floor(F.unix_micros(x.cast("timestamp")) / F.lit(TIME_BUCKET * 1_000_000))
+        return F.floor(micros(x, kind) / F.lit(TIME_BUCKET * 1_000_000))
     if kind == "date":
         return F.unix_date(x).cast("bigint")
     whole = kind in ("byte", "short", "integer", "long")

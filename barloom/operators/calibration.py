@@ -15,7 +15,7 @@ def _ranked(preds: DataFrame, by: list[str], key: str) -> DataFrame:
     """0-based rank by probability and group size, without one task per group."""
     r = running(preds, by, ["probability", key], {"__rank": ("count", F.lit(1))}).withColumn("__rank", F.col("__rank") - 1)
     n = preds.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    return r.join(F.broadcast(n), by) if by else r.crossJoin(F.broadcast(n))
+    return r.join(n, by) if by else r.crossJoin(F.broadcast(n))
 
 
 def _buckets(n: Column, lo: int, hi: int) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from barloom.functions.columns import ratio
 from barloom.functions.intervals import non_overlapping
@@ -21,14 +20,14 @@ def planned_trades(trades: DataFrame, key: str = "candidate_id") -> DataFrame:
 
     ``trades``: entry_time, exit_time, probability, direction, prices.
     """
-    w = W.partitionBy("entry_time").orderBy(F.col("probability").desc(), key)
-    return trades.withColumn("entry_rank", F.row_number().over(w))
+    best = F.min_by(F.struct(*trades.columns), F.struct(-F.col("probability"), F.col(key)))
+    return trades.groupBy("entry_time").agg(best.alias("__r")).select("__r.*")
 
 
-def entry_collisions(planned: DataFrame) -> DataFrame:
-    return planned.agg(
-        F.count(F.lit(1)).alias("planned"), F.count(F.when(F.col("entry_rank") > 1, 1)).alias("same_timestamp_entry_collisions")
-    )
+def entry_collisions(trades: DataFrame) -> DataFrame:
+    """Planned entries and how many share a timestamp with a better one."""
+    n = trades.groupBy("entry_time").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.sum("n").alias("planned"), F.sum(F.col("n") - 1).alias("same_timestamp_entry_collisions"))
 
 
 def event_table(trades: DataFrame, key: str = "candidate_id") -> DataFrame:
@@ -46,7 +45,7 @@ def event_table(trades: DataFrame, key: str = "candidate_id") -> DataFrame:
 def replayed(trades: DataFrame, *, by: list[str] | None = None, fill: Fill = Fill(), key: str = "candidate_id", capital: float = 100_000.0) -> DataFrame:
     """Trades an account with one position takes, in dollars."""
     by = by or []
-    first = planned_trades(trades, key).filter(F.col("entry_rank") == 1).drop("entry_rank")
+    first = planned_trades(trades, key)
     kept = non_overlapping(first, run=by, entry="entry_time", exit_="exit_time", key=key)
     _, _, points = filled("entry_price", "exit_price", "direction", fill)
     sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)

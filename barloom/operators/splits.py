@@ -50,13 +50,12 @@ def walk_forward(
         tagged.filter(is_test).groupBy("fold").agg(F.min("entry_time").alias("test_start"))
     )
     tagged = tagged.join(F.broadcast(first), "fold")
-    reach = F.unix_micros(F.col("exit_time").cast("timestamp"))
-    edge = F.unix_micros(F.col("test_start").cast("timestamp"))
+    reach, edge = F.col("exit_time"), F.col("test_start")
     role = ladder(
         [
             (is_test, "test"),
             (reach >= edge, "purged"),
-            (reach >= edge - F.lit(embargo_seconds * 1_000_000), "embargo"),
+            (reach >= edge - F.make_dt_interval(secs=F.lit(embargo_seconds).cast("decimal(18,6)")), "embargo"),
         ],
         "train",
     )

@@ -81,8 +81,8 @@ def lineage(cands: DataFrame) -> DataFrame:
 
 def deduplicate(records: DataFrame, by: list[str]) -> DataFrame:
     """First record per de-duplication key (earliest break, then identity)."""
-    w = W.partitionBy(*by, "dedup_key").orderBy("break_sod", "candidate_id")
-    return records.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).drop("__r")
+    first = F.min_by(F.struct(*records.columns), F.struct("break_sod", "candidate_id"))
+    return records.groupBy(*by, "dedup_key").agg(first.alias("__r")).select("__r.*")
 
 
 def dedup_summary(records: DataFrame, by: list[str]) -> DataFrame:

@@ -337,13 +337,13 @@ def sharpe_deflated_audit(spark, d):
 
 @query("replay_entry_collisions", f"{W0} SELECT CAST(sum(n) AS BIGINT) AS planned, CAST(sum(n - 1) AS BIGINT) AS same_timestamp_entry_collisions FROM (SELECT entry_time, count(*) AS n FROM setups GROUP BY 1)")
 def replay_entry_collisions(spark, d):
-    return R.entry_collisions(R.planned_trades(setups(spark, d)))
+    return R.entry_collisions(setups(spark, d))
 
 
 @query("replay_planned_entries", f"{W0} SELECT candidate_id FROM (SELECT candidate_id, row_number() OVER (PARTITION BY entry_time ORDER BY probability DESC, candidate_id) AS r FROM setups) WHERE r = 1")
 def replay_planned_entries(spark, d):
     """One entry per timestamp."""
-    return R.planned_trades(setups(spark, d)).filter("entry_rank = 1").select("candidate_id")
+    return R.planned_trades(setups(spark, d)).select("candidate_id")
 
 
 @query("replay_event_table", f"{W0}, e AS (SELECT entry_time AS t, 1 AS a, 0 AS b FROM setups UNION ALL SELECT exit_time, 0, 1 FROM setups) SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS timestamp, CAST(sum(a) AS BIGINT) AS entries, CAST(sum(b) AS BIGINT) AS exits FROM e GROUP BY 1")
