@@ -66,8 +66,10 @@ def mirrored(bars: DataFrame, rules: DataFrame, spec: SessionSpec, extra: list[s
     coarse = (F.floor(F.col("sod") / spec.coarse) * spec.coarse).cast("int")
     bucket = W.partitionBy(*SESSION_KEY, "coarse_sod")
     order = bucket.orderBy("sod").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # one shuffle on the session serves every window below, before rows are replicated
     b = (
         bars.select(*SESSION_KEY, "sod", "open", "high", "low", "close")
+        .repartition(*SESSION_KEY)
         .withColumn("coarse_sod", coarse)
         .withColumns(
             {

@@ -10,6 +10,7 @@ from barloom.functions.columns import clip, ladder, num0
 from barloom.functions.stats import exact_quantiles
 from barloom.operators.exits import trade_paths
 from barloom.schemas import SessionSpec
+from barloom.session import cut
 
 # fixed values: exit families and the archetypes that support them
 FAMILY_SUPPORT = [
@@ -56,6 +57,7 @@ def path_diagnostics(bars: DataFrame, entries: DataFrame, spec: SessionSpec, hor
 
     ``entries`` are labelled entries; market-state columns are optional.
     """
+    entries = cut(entries)  # one row per trade, read by several branches
     rows = trade_paths(bars, entries, spec, horizon, key)
     w = W.partitionBy(key)
     prev = F.lag("side").over(w.orderBy("k"))

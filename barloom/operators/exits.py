@@ -22,6 +22,7 @@ from barloom.operators.backtest import Fill, equity_curve
 from barloom.operators.labels import entry_numbers
 from barloom.operators.sessions import number_bars
 from barloom.schemas import SESSION_KEY, SessionSpec
+from barloom.session import cut
 
 # fixed values: exit policies
 # target_r: R multiple of the target (null: the trade's own target, 0: recent high/low, 999: none)
@@ -165,6 +166,7 @@ def replay_exits(
     fill: Fill = Fill(), key: str = "candidate_id",
 ) -> DataFrame:
     """Every entry under every policy: outcome, bars held, net R."""
+    entries = cut(entries)  # one row per trade, read by several branches
     rows = trade_paths(bars, entries, spec, horizon, key)
     bar = F.struct("k", "fav", "adv", "x", "mfe_r", "adv3", "going", "fading", "session_date", "sod")
     paths = rows.groupBy(key).agg(F.array_sort(F.collect_list(bar)).alias("path"))

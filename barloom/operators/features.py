@@ -18,6 +18,7 @@ from barloom.functions.asof import asof
 from barloom.functions.columns import flag, iso, ratio
 from barloom.operators.candidates import first_per_id
 from barloom.schemas import SESSION_KEY, SessionSpec
+from barloom.session import cut
 
 RECENT = 16  # fixed value: bars in the recent market-state window
 PRIOR = 6  # fixed value: bars before the break used as its baseline
@@ -214,7 +215,7 @@ def longest_run(flags: Column) -> Column:
 def feature_matrix(bars: DataFrame, cands: DataFrame, spec: SessionSpec, key: list[str] | None = None) -> DataFrame:
     """One wide row per candidate; ``cands`` are finalized candidates."""
     key = key or ["candidate_id"]
-    cands = first_per_id(cands, key)
+    cands = cut(first_per_id(cands, key))  # small, read twice
     facts = candidate_bars(cands, bar_context(bars, spec), key)
     f = cands.join(facts, [*SESSION_KEY, *key]).join(session_gaps(bars), SESSION_KEY)
     long = F.col("direction") == "long"

@@ -10,6 +10,7 @@ from barloom.functions.asof import forward_window
 from barloom.functions.columns import fan_out, iso
 from barloom.operators.sessions import number_bars
 from barloom.schemas import SESSION_KEY, SessionSpec
+from barloom.session import cut
 
 
 def entry_numbers(events: DataFrame, numbered: DataFrame, time: str = "decision_sod") -> DataFrame:
@@ -76,7 +77,8 @@ def triple_barrier(
         ev = fan_out(cands, policies)
         pol = ["label_policy"]
     group = [*key, *pol]
-    ev = ev.dropDuplicates(group).withColumn("event_key", F.concat_ws("\u0001", *group))
+    # a few events per session, read by four branches below: stored once
+    ev = cut(ev.dropDuplicates(group).withColumn("event_key", F.concat_ws("\u0001", *group)))
     numbered = number_bars(bars)
     long = F.col("direction") == "long"
     sign = F.when(long, 1.0).otherwise(-1.0)

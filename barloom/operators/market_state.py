@@ -144,11 +144,9 @@ def with_scores(df: DataFrame, specs: dict[str, tuple[list[str], list[str]]], q:
     out = {}
     for target, (xs, inv) in specs.items():
         parts = [1.0 - F.col(f"__n_{x}") if x in inv else F.col(f"__n_{x}") for x in xs if x in names]
-        out[target] = F.aggregate(
-            F.array_compact(F.array(*parts)), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-            lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")),
-            lambda a: F.when(a["n"] > 0, a["s"] / a["n"]),
-        ) if parts else F.lit(None).cast("double")
+        n = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
+        total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
+        out[target] = F.when(n > 0, total / n) if parts else F.lit(None).cast("double")
     return work.withColumns(out).drop(*[f"__n_{x}" for x in names])
 
 

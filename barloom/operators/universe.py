@@ -10,6 +10,7 @@ from barloom.functions.columns import iso, ladder
 from barloom.operators.candidates import finalize, reclaim_candidates, with_subtype
 from barloom.operators.zones import opening_zones
 from barloom.schemas import SESSION_KEY, SessionSpec
+from barloom.session import cut
 
 BASELINE = "first_reclaim_only_baseline"
 
@@ -137,7 +138,7 @@ def governance_decision() -> Column:
 
 def universe_summary(cands: DataFrame, all_variants: DataFrame) -> DataFrame:
     """One row per definition: counts, duplicates, support, decision."""
-    rec = lineage(cands)
+    rec = cut(lineage(cands))  # a few rows per session, read by five aggregates
     kept = deduplicate(rec, ["variant"])
     counts = kept.groupBy("variant").agg(
         F.count(F.lit(1)).alias("candidate_count"),

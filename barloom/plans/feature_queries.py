@@ -26,7 +26,7 @@ _PRE = """pre AS (SELECT c.candidate_id, c.direction, c.break_sod, c.trigger_sod
 
 
 def _matrix(spark, d):
-    return X.feature_matrix(study_bars(spark, d), cut(_cands(spark, d)), STUDY)
+    return X.feature_matrix(study_bars(spark, d), _cands(spark, d), STUDY)
 
 
 def _pick(spark, d, cols):
@@ -181,8 +181,7 @@ def _labelled(spark, d):
     lab = L.triple_barrier(study_bars(spark, d), c, STUDY).select(
         "candidate_id", "label", "outcome", "pnl_r", "stop_price", "target_price", "bars_held", "mfe", "mae", "exit_time"
     )
-    # several aggregates read the labelled entries: store them once
-    return cut(C.first_per_id(c).join(lab, "candidate_id"))
+    return C.first_per_id(c).join(lab, "candidate_id")
 
 
 @query("feature_validation_candidates", None)
