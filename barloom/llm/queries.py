@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import likelihood, shards, simhash, token_prefixes
+from barloom.llm import likelihood, packing, shards, simhash, suffixes, token_prefixes, warc
+from barloom.llm.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +48,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_components")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+@query("op8_configuration_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
+@query("op9_warc_salvage")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = shared_path(pages, "warc")
+    warc.write_archives(pages, path, least=0)
+    records = warc.read_archives(spark, path, blocks=False).where("kind = 'record'")
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                          F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+@query("op10_suffix_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=200, kept=False).drop("removed_spans")
