@@ -137,14 +137,16 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes | None:
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member at ``at`` and its end."""
-    inflate = zlib.decompressobj(31)
+    inflate, parts, end, step = zlib.decompressobj(31), [], at, 1 << 16
     try:
-        plain = inflate.decompress(data[at:]) + inflate.flush()
+        while end < len(data) and not inflate.eof:
+            parts.append(inflate.decompress(data[end : end + step]))
+            end = min(end + step, len(data))
     except zlib.error as e:
         raise BadRecord(f"member: {e}") from e
     if not inflate.eof:
         raise BadRecord("member without end")
-    return plain, len(data) - len(inflate.unused_data)
+    return b"".join(parts), end - len(inflate.unused_data)
 
 
 def _records_at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import likelihood, simhash
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from barloom.llm import decontaminate, likelihood, packing, simhash, site_lines
 from barloom.llm.shared import stored
 
 
@@ -17,11 +20,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return likelihood.quality_rules(docs, _labels(spark, sf_dir)).where("kept").select("row.*")
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines that many sites share but for their first occurrence."""
+    cut = site_lines.drop_boilerplate(docs, sites=10, min_words=3)
+    body = F.col("kept_text")
+    new = {"text": body, "n_chars": F.length(body).cast("bigint")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every group of near copies.
+
+    Fingerprints are over distinct words and linked at five bits: over three- or
+    five-word shingles a similarity of 0.8 is ten bits away, out of reach of
+    any index, over distinct words it is four.
+    """
     return simhash.keep_one(docs, shingle=1, distinct=True, radius=5, segments=16)
 
 
-STAGES = [("quality rules", quality), ("simhash near-dedup", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage similar to a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_leaks(docs, items, shingle=5, least=0.8).where(F.size("leaks") == 0).select("row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the rows in sequences of 4096 tokens."""
+    return packing.pack(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packed),
+]
 
 #: SimHash, fitted ratios and packing have no SQL form.
 ORACLE_SQL = None
