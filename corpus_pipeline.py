@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, likelihood, packing, simhash, site_lines
@@ -17,7 +16,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and reach the likelihood-ratio threshold."""
-    return likelihood.quality_rules(docs, _labels(spark, sf_dir)).where("kept").select("row.*")
+    return likelihood.kept_rows(likelihood.quality_rules(docs, _labels(spark, sf_dir)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
