@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(cores: str | int = "*", app: str = "barloom", shuffle: int | None = None) -> SparkSession:
     """Local session for tests and the benchmark; a cluster brings its own."""
     n = shuffle or (os.cpu_count() or 8 if cores == "*" else int(cores))
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
@@ -23,6 +25,16 @@ def build_session(cores: str | int = "*", app: str = "barloom", shuffle: int | N
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once per session, wherever they start."""
+    context = spark.sparkContext
+    if not any(f.rsplit("/", 1)[-1] == "barloom.zip" for f in context.listFiles):
+        root = Path(__file__).resolve().parent
+        file = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/barloom", "zip", root.parent, root.name)
+        context.addPyFile(file)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a scratch one only for local masters."""
     named = spark.conf.get("spark.checkpoint.dir", None)
