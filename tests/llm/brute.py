@@ -1,0 +1,63 @@
+"""Plain readings of the operators' contracts, one text at a time."""
+
+import hashlib
+import re
+
+import xxhash
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def base(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    w, text = words(text), text or ""
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 5)} if len(w) < 500 or len(set(w)) > 1 else set(range(len(w)))
+    lines = [x for x in text.split("\n") if words(x)]
+    failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
+
+
+def simhash(text, width=3):
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    w = words(low)
+    grams = [" ".join(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def linked(values, radius):
+    """Component number of every value, all pairs compared."""
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j in range(i):
+            if bin(a ^ values[j]).count("1") <= radius:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(values))]
+
+
+def removed(texts, length):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of every text."""
+    data, seen = [(t or "").encode() for t in texts], {}
+    for d in data:
+        for i in range(len(d) - length + 1):
+            seen[d[i : i + length]] = seen.get(d[i : i + length], 0) + 1
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        kept = bytes(b for b, g in zip(d, gone) if not g)
+        out.append((len(d), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
