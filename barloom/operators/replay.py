@@ -15,13 +15,13 @@ from barloom.operators.backtest import Fill, filled
 MULTIPLIER = 2.0
 
 
-def planned_trades(trades: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """One entry per timestamp: the highest probability, then the smallest id.
+def planned_trades(trades: DataFrame, key: str = "candidate_id", by: list[str] | None = None) -> DataFrame:
+    """One entry per timestamp of a run: the highest probability, then the smallest id.
 
     ``trades``: entry_time, exit_time, probability, direction, prices.
     """
     best = F.min_by(F.struct(*trades.columns), F.struct(-F.col("probability"), F.col(key)))
-    return trades.groupBy("entry_time").agg(best.alias("__r")).select("__r.*")
+    return trades.groupBy(*(by or []), "entry_time").agg(best.alias("__r")).select("__r.*")
 
 
 def entry_collisions(trades: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def event_table(trades: DataFrame, key: str = "candidate_id") -> DataFrame:
 def replayed(trades: DataFrame, *, by: list[str] | None = None, fill: Fill = Fill(), key: str = "candidate_id", capital: float = 100_000.0) -> DataFrame:
     """Trades an account with one position takes, in dollars."""
     by = by or []
-    first = planned_trades(trades, key)
+    first = planned_trades(trades, key, by)
     kept = non_overlapping(first, run=by, entry="entry_time", exit_="exit_time", key=key)
     _, _, points = filled("entry_price", "exit_price", "direction", fill)
     sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)

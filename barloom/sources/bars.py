@@ -28,20 +28,20 @@ def time_column(df: DataFrame) -> str:
 
 
 def parse_instant(col, kind: str, tz: str, source_tz: str | None = None):
-    """Instant of a time column.
+    """Instant of a time column, as UTC wall-clock time; the session zone plays no part.
 
     Text with an explicit offset is taken as is; everything without one is
     wall-clock time in ``source_tz`` (or the exchange zone).
     """
-    zone = source_tz or tz
+    zone = F.lit(source_tz or tz)
     if kind == "timestamp":
-        return col
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col.cast("timestamp_ntz"))
     if kind in ("timestamp_ntz", "date"):
-        return F.to_utc_timestamp(col.cast("timestamp_ntz").cast("string").cast("timestamp"), zone)
+        return F.convert_timezone(zone, F.lit("UTC"), col.cast("timestamp_ntz"))
     text = col.cast("string")
-    return F.when(text.rlike(OFFSET_PATTERN), F.to_timestamp(text)).otherwise(
-        F.to_utc_timestamp(F.to_timestamp(text), zone)
-    )
+    offset = F.regexp_replace(F.regexp_extract(text, OFFSET_PATTERN, 1), "Z", "+00:00")
+    wall = F.to_timestamp_ntz(F.regexp_replace(text, r"\s*" + OFFSET_PATTERN, ""))
+    return F.convert_timezone(F.when(offset != "", offset).otherwise(zone), F.lit("UTC"), wall)
 
 
 def with_session_keys(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -63,15 +63,15 @@ def canonical_bars(
     tz: str = "America/New_York",
     source_tz: str | None = None,
 ) -> DataFrame:
-    """Raw bar rows to the canonical table (times in a session that runs on UTC)."""
+    """Raw bar rows to the canonical table, alike under every session time zone."""
     df = normalize_columns(raw)
     t = time_column(df)
     instant = parse_instant(F.col(t), df.schema[t].dataType.typeName(), tz, source_tz)
     sym = F.lit(symbol) if symbol is not None else F.col("symbol")
     out = df.select(
         sym.alias("symbol"),
-        instant.alias("ts_event_utc"),
-        F.from_utc_timestamp(instant, tz).cast("timestamp_ntz").alias("ts"),
+        F.convert_timezone(F.lit("UTC"), F.current_timezone(), instant).cast("timestamp").alias("ts_event_utc"),
+        F.convert_timezone(F.lit("UTC"), F.lit(tz), instant).alias("ts"),
         F.lit(timeframe).alias("source_timeframe"),
         *[F.col(x).cast("double").alias(x) for x in OHLCV],
     )

@@ -134,3 +134,19 @@ def test_streaming_twins_equal_batch(spark, tmp_path):
     got = {(r.event_time.timestamp(), r.close, r.high) for r in spark.table("bars_out").filter("year(event_time) = 2024").collect()}
     want = {(r.t.timestamp(), r.close, r.high) for r in resample(b, spec).withColumn("t", F.col("ts").cast("timestamp")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_bars_do_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2024-01-02T14:30:00Z", "2024-01-02 09:30:00-05:00", "2024-01-02 09:30:00", "2024-07-02T13:30:00Z"]
+        raw = spark.createDataFrame([(t, 1.0, 1.0, 1.0, 1.0, 1.0) for t in texts], "timestamp string, open double, high double, low double, close double, volume double")
+        whole = raw.where("timestamp like '%Z'").withColumn("timestamp", F.to_timestamp("timestamp"))
+        wall = raw.where("length(timestamp) = 19").withColumn("timestamp", F.to_timestamp_ntz("timestamp"))
+        for part in (raw, whole, wall):
+            got = SB.canonical_bars(part, symbol="A").selectExpr("date_format(ts, 'HH:mm')", "unix_timestamp(ts_event_utc) % 86400").collect()
+            assert {r[0] for r in got} == {"09:30"} and {r[1] for r in got} <= {52200, 48600}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

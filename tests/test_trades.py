@@ -252,3 +252,16 @@ def test_trailing_streak(spark):
     d = spark.createDataFrame([("g", 1, "x"), ("g", 2, "y"), ("g", 3, "x"), ("g", 4, "x")], "g string, i int, f string")
     r = trailing_streak(d, by=["g"], order=["i"], value="f").first()
     assert (r.last_value, r.streak) == ("x", 2)
+
+
+def test_replay_keeps_every_run(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.operators.replay import replayed
+
+    one = spark.sql("SELECT id AS candidate_id, timestamp_ntz '2024-01-02 09:30:00' + make_interval(0, 0, 0, 0, 0, int(id)) AS entry_time, "
+                    "timestamp_ntz '2024-01-02 09:30:30' + make_interval(0, 0, 0, 0, 0, int(id)) AS exit_time, 0.5D AS probability, 'long' AS direction, "
+                    "10D AS entry_price, 10D + id AS exit_price FROM range(4)")
+    both = one.withColumn("run", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    got = replayed(both, by=["run"]).groupBy("run").agg(F.count("*").alias("n"), F.sum("net_pnl").alias("pnl")).collect()
+    assert {r["run"] for r in got} == {"A", "B"} and len({(r["n"], r["pnl"]) for r in got}) == 1 and got[0]["n"] == 4
