@@ -51,14 +51,16 @@ def header(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit(VERSION.decode()), F.concat_ws("", *lines), F.lit("\r\n"))
 
 
-def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, file_bytes: int = FILE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, file_bytes: int = FILE_BYTES,
+                   compression: str = "none") -> None:
     """Write one record per row of ``pages`` below ``path``.
 
     Of rows with equal payloads of at least ``least`` bytes that with the
     largest id is the response, the others are revisits that refer to it; of
     rows that repeat that id with that payload all are responses.  A null
     payload is empty, a null url is left out of the header, rows with a null id
-    are responses, as nothing can refer to them.
+    are responses, as nothing can refer to them.  With ``compression="gzip"`` a
+    file is one gzip member of many records.
     """
     body = F.coalesce(pages[f"`{html}`"].cast("string"), F.lit(""))
     rows = pages.select(long_id(pages, page_id).alias("id"), pages[f"`{url}`"].cast("string").alias("url"), body.alias("body"))
@@ -88,7 +90,7 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
         "Content-Type": F.lit("application/http;msgtype=response"),
         "Content-Length": F.octet_length(block).cast("string"),
     }), block)
-    told.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    told.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 class BadRecord(ValueError):
@@ -135,54 +137,66 @@ def payload_of(fields: dict[str, str], block: bytes) -> bytes | None:
     return block
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and its end."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` holds, its end, and why it breaks off, if it does."""
     inflate, parts, end, step = zlib.decompressobj(31), [], at, 1 << 16
     try:
         while end < len(data) and not inflate.eof:
             parts.append(inflate.decompress(data[end : end + step]))
             end = min(end + step, len(data))
     except zlib.error as e:
-        raise BadRecord(f"member: {e}") from e
+        return b"".join(parts), at, f"member: {e}"
     if not inflate.eof:
-        raise BadRecord("member without end")
-    return b"".join(parts), end - len(inflate.unused_data)
+        return b"".join(parts), at, "member without end"
+    return b"".join(parts), end - len(inflate.unused_data), ""
 
 
-def _records_at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """All records of the member at ``at``, or the plain record there."""
+def _items_at(data: bytes, at: int) -> tuple[list[tuple[str, dict[str, str], bytes]], int, str]:
+    """Records and gaps of the member at ``at``, or the plain record there, the end, and why it breaks off.
+
+    A member is salvaged like a file: a bad record inside it, or a damaged rest,
+    costs none of the records before or behind it that can be read.
+    """
     if data[at : at + 3] != _MEMBER:
         fields, block, end = parse_record(data, at)
-        return [(fields, block)], end
-    plain, end = _member(data, at)
-    found, inside = [], 0
-    while inside < len(plain):
-        fields, block, inside = parse_record(plain, inside)
-        found.append((fields, block))
-    return found, end
+        return [("record", fields, block)], end, ""
+    plain, end, broken = _member(data, at)
+    found = [(kind, fields, block) for kind, _, _, fields, block in salvage(plain)]
+    if broken:
+        # the cut-off last record is part of the gap that the file gets
+        found = [x for x in found if x[0] == "record"]
+        if not found:
+            raise BadRecord(broken)
+    return found, end, broken
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
     """``("record", offset, length, header, block)`` and ``("gap", offset, length, {"reason": ...}, b"")`` in order.
 
-    Records and gaps cover the file without overlap.
+    Plain records, members and gaps cover the file without overlap; all records
+    of a member, and gaps inside it, have the member's offset and length.  The
+    records before the damage in a member have the length 0, what follows it is
+    a gap from the member's start on.
     """
     at, gap, why = 0, None, ""
     while at < len(data):
+        found, broken = [], ""
         try:
-            found, end = _records_at(data, at)
+            found, end, broken = _items_at(data, at)
         except BadRecord as e:
+            broken = str(e)
+        if found and gap is not None:
+            yield "gap", gap, at - gap, {"reason": why}, b""
+            gap = None
+        for kind, fields, block in found:
+            yield kind, at, 0 if broken else end - at, fields, block
+        if broken:
             if gap is None:
-                gap, why = at, str(e)
+                gap, why = at, broken
             version, member = _VERSION.search(data, at + 1), data.find(_MEMBER, at + 1)
             at = min(version.start() if version else len(data), member if member >= 0 else len(data))
-            continue
-        if gap is not None:
-            yield "gap", gap, at - gap, {"reason": why}, b""
-            gap = None
-        for fields, block in found:
-            yield "record", at, end - at, fields, block
-        at = end
+        else:
+            at = end
     if gap is not None:
         yield "gap", gap, len(data) - gap, {"reason": why}, b""
 

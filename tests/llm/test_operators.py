@@ -262,6 +262,26 @@ def test_warc_salvage(spark, tmp_path, packed):
     assert sum(n for _, _, n, _, _ in found) == len(data) + 17
 
 
+def test_warc_salvage_inside_a_member(spark, tmp_path):
+    path = str(tmp_path / "w")
+    pages = spark.createDataFrame([(i, "u", f"page {i} " + hashlib.sha256(str(i).encode()).hexdigest() * 40) for i in range(60)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), path, compression="gzip", file_bytes=1 << 30)
+    assert warc.read_archives(spark, path).where("kind = 'record'").count() == 60
+    name = max((f for f in os.listdir(path) if f.startswith("part-")), key=lambda f: os.path.getsize(f"{path}/{f}"))
+    data = open(f"{path}/{name}", "rb").read()
+    whole = list(warc.salvage(data))
+    plain = gzip.decompress(data)
+    # a byte of one record is changed before packing: only that record goes
+    at = plain.index(b"page ", len(plain) // 3)
+    bad = list(warc.salvage(gzip.compress(plain[:at] + b"P" + plain[at + 1 :])))
+    assert [k for k, *_ in bad].count("record") == len(whole) - 1 and [k for k, *_ in bad].count("gap") == 1
+    # a cut member keeps its first records, the rest is a gap, and the next member is found
+    found = list(warc.salvage(data[: len(data) // 2] + gzip.compress(plain)))
+    n = [k for k, *_ in found].count("record")
+    assert len(whole) <= n < 2 * len(whole) and [k for k, *_ in found].count("gap") == 1
+    assert sum(length for k, _, length, _, _ in found if k == "gap") == len(data) // 2
+
+
 def test_suffixes_equal_all_windows(spark, texts):
     got, ids = by_id(queries.op10(spark, SF_DIR)), sorted(texts)
     want = dict(zip(ids, brute.removed([texts[i] for i in ids], 200)))
