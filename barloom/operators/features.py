@@ -284,7 +284,7 @@ def feature_matrix(bars: DataFrame, cands: DataFrame, spec: SessionSpec, key: li
         trend = ratio(F.col("t_close") - F.col(f"t_open_{n}"), f"t_open_{n}")
         cols[f"reg_trend_{n}"] = trend
         cols[f"reg_trend_strength_{n}"] = F.when(F.col(f"t_vol_{n}") > 0, trend / F.col(f"t_vol_{n}")).otherwise(zero)
-        cols[f"reg_chop_{n}"] = F.coalesce(F.col(f"t_abs_{n}") / tiny(F.abs(F.col(f"t_net_{n}"))), zero)
+        cols[f"reg_chop_{n}"] = F.coalesce(F.col(f"t_abs_{n}") / tiny(F.abs(F.round(F.col(f"t_net_{n}"), 12))), zero)
         cols[f"reg_range_ratio_{n}"] = F.col(f"t_range_{n}") / width
     pivot_range = F.col("v_high") - F.col("v_low")
     progress = F.when(long, F.col("t_close") - F.col("t_w_first_open")).otherwise(F.col("t_w_first_open") - F.col("t_close"))

@@ -81,12 +81,8 @@ def session_groups(sessions: DataFrame, n_groups: int) -> DataFrame:
     )
 
 
-def cpcv_group_count(session_count: int) -> int:
-    return min(8, max(6, session_count // 20))
-
-
-def cpcv_paths(spark: SparkSession, n_groups: int, *, limit: int = 20, seed: int = 42) -> DataFrame:
-    """Pairs of test groups in a seeded order; at most 28 rows, drawn on the driver."""
+def cpcv_paths(spark: SparkSession, n_groups: int, *, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """All pairs of test groups in a seeded order, or the first ``limit``; configuration, drawn on the driver."""
     pairs = list(combinations(range(n_groups), 2))
     random.Random(seed).shuffle(pairs)
     rows = [(f"cpcv_{i:03d}", a, b) for i, (a, b) in enumerate(pairs[:limit], start=1)]
@@ -112,7 +108,7 @@ def cpcv_rows(
         zone = zones.groupBy("path_id").agg(F.collect_list(F.struct("lo", "hi")).alias("zones"))
     else:
         zone = zones.groupBy("path_id").agg(F.array(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi"))).alias("zones"))
-    # at most 28 paths with at most two zones each
+    # one row per pair of groups, with at most two zones each
     plan = paths.join(zone, "path_id")
     tagged = fan_out_small(grouped, plan)
     is_test = (F.col("session_group") == F.col("group_a")) | (F.col("session_group") == F.col("group_b"))

@@ -57,17 +57,16 @@ SUBTYPE_POLICIES = [
 
 
 def trial_grid(spark: SparkSession, family: str, space: dict | None = None, cap: int | None = None) -> DataFrame:
-    """Ordered cartesian product of a search space, cut to the trial budget.
+    """Ordered cartesian product of a search space; ``cap`` keeps the first so many trials.
 
     Configuration, not data: a few dozen rows at most.
     """
     if space is None:
         if family not in SEARCH_SPACES:
             raise ValueError(f"unsupported search family: {family}")
-        limit, space = SEARCH_SPACES[family]
-        cap = cap or limit
+        space = SEARCH_SPACES[family][1]
     names = list(space)
-    rows = list(product(*space.values()))[: cap or None]
+    rows = list(product(*space.values()))[:cap]
     kinds = {str: "string", float: "double", int: "int"}
     ddl = "trial int, " + ", ".join(f"{n} {kinds[type(space[n][0])]}" for n in names)
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows, start=1)], ddl)
@@ -185,14 +184,15 @@ def confirmation_status() -> Column:
     )
 
 
-def dedupe_ledger(rows: DataFrame, keys: list[str], arrival: str, keep: int = 100) -> DataFrame:
-    """First row per signature, then the last ``keep`` of those by arrival.
+def dedupe_ledger(rows: DataFrame, keys: list[str], arrival: str, keep: int | None = None) -> DataFrame:
+    """First row per signature; with ``keep`` the last so many of those by arrival.
 
     The first row is an aggregate per signature, so repeated signatures are
     combined map-side.
     """
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), arrival).alias("__r"))
-    return first.select("__r.*").orderBy(F.col(arrival).desc()).limit(keep)
+    out = first.select("__r.*")
+    return out if keep is None else out.orderBy(F.col(arrival).desc()).limit(keep)
 
 
 def trailing_family_streaks(rows: DataFrame, order: str, family: str = "family") -> DataFrame:

@@ -119,8 +119,8 @@ def validation_v1_gates(spark, d):
 def model_holdout_gbm(spark, d):
     """Boosted trees on the time-ordered split (ten rounds here, 200 by default)."""
     s = cut(S.holdout_split(setups(spark, d)).drop("probability", "prediction"))
-    m = ML.fit_classifier(s.filter("role = 'train'"), FEATURES[:5], "gbm", rounds=10)
-    return _out(ML.split_metrics(ML.score(m, s.filter("role = 'test'"), FEATURES[:5])))
+    m = ML.fit_classifier(s.filter("role = 'train'"), FEATURES, "gbm", rounds=10)
+    return _out(ML.split_metrics(ML.score(m, s.filter("role = 'test'"), FEATURES)))
 
 
 @query("model_worst_trades")

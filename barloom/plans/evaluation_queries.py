@@ -70,7 +70,7 @@ def split_session_groups(spark, d):
 def _pairs():
     pairs = list(combinations(range(8), 2))
     random.Random(42).shuffle(pairs)
-    return "(VALUES " + ", ".join(f"('cpcv_{i:03d}', {a}, {b})" for i, (a, b) in enumerate(pairs[:20], 1)) + ") pt(path_id, ga, gb)"
+    return "(VALUES " + ", ".join(f"('cpcv_{i:03d}', {a}, {b})" for i, (a, b) in enumerate(pairs, 1)) + ") pt(path_id, ga, gb)"
 
 
 _CP = f"""{_GRP}, rn AS (SELECT s.*, g.session_group, row_number() OVER (ORDER BY entry_time, candidate_id) AS row_no FROM setups s JOIN gp g USING (session_date)),
@@ -691,8 +691,8 @@ def _runs(spark, d):
 def _grid_sql(family):
     from itertools import product
 
-    cap, space = T.SEARCH_SPACES[family]
-    rows = list(product(*space.values()))[:cap]
+    space = T.SEARCH_SPACES[family][1]
+    rows = list(product(*space.values()))
     lit = lambda v: f"'{v}'" if isinstance(v, str) else (f"{v}e0" if isinstance(v, float) else str(v))
     names = list(space)
     return "SELECT " + ", ".join(f"CAST({n} AS INT) AS {n}" if isinstance(space[n][0], int) else n for n in ["trial", *names] if n != "trial") + ", CAST(trial AS INT) AS trial, (SELECT count(*) FROM orders) AS budget_rows FROM (VALUES " + ", ".join(
@@ -730,9 +730,9 @@ def trial_table_fingerprint(spark, d):
     return T.table_fingerprint(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderstatus"]).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
-@query("ledger_dedupe", f"WITH {_RUNS} SELECT family, batch_decision, walk_forward, cpcv, translation, min(run_no) AS run_no FROM runs GROUP BY 1, 2, 3, 4, 5 ORDER BY run_no DESC LIMIT 100")
+@query("ledger_dedupe", f"WITH {_RUNS} SELECT family, batch_decision, walk_forward, cpcv, translation, min(run_no) AS run_no FROM runs GROUP BY 1, 2, 3, 4, 5")
 def ledger_dedupe(spark, d):
-    """First record per signature, last hundred kept."""
+    """First record per signature."""
     keys = ["family", "batch_decision", "walk_forward", "cpcv", "translation"]
     return T.dedupe_ledger(_runs(spark, d), keys, "run_no").select(*keys, "run_no")
 
@@ -847,7 +847,7 @@ def model_holdout_linear(spark, d):
 def model_walk_forward(spark, d):
     """Per-fold fits stitched out of sample, and the AUC check."""
     f = S.walk_forward(setups(spark, d).drop("probability", "prediction"), min_train=600, test=600)
-    return _out(ML.walk_forward_check(ML.walk_forward_predictions(f, FEATURES[:6])))
+    return _out(ML.walk_forward_check(ML.walk_forward_predictions(f, FEATURES)))
 
 
 @query("model_linear_attribution")

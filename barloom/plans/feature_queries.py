@@ -97,19 +97,17 @@ def feature_sequence_lab(spark, d):
 
 
 def _reg(n):
-    return f"""r{n} AS (SELECT candidate_id, coalesce(stddev_samp(close / pc - 1), 0) AS vol{n}, coalesce(sum(abs(close / pc - 1)) / greatest(abs(sum(close / pc - 1)), 1e-9), 0) AS chop{n}, max(high) - min(low) AS rng{n}, (first(close ORDER BY sod DESC) - first(open ORDER BY sod)) / first(open ORDER BY sod) AS tr{n} FROM pre WHERE back <= {n} GROUP BY 1)"""
+    return f"""r{n} AS (SELECT candidate_id, coalesce(stddev_samp(close / pc - 1), 0) AS vol{n}, coalesce(sum(abs(close / pc - 1)) / greatest(abs(round(sum(close / pc - 1), 12)), 1e-9), 0) AS chop{n}, max(high) - min(low) AS rng{n}, (first(close ORDER BY sod DESC) - first(open ORDER BY sod)) / first(open ORDER BY sod) AS tr{n} FROM pre WHERE back <= {n} GROUP BY 1)"""
 
 
 @query(
     "feature_regime",
     f"""{_BASE}, {_PRE}, {_reg(10)}, {_reg(30)}, z AS (SELECT *, CASE WHEN vol30 > 0 THEN vol10 / vol30 ELSE 0 END AS vr, CASE WHEN vol10 > 0 THEN tr10 / vol10 ELSE 0 END AS ts10, CASE WHEN vol30 > 0 THEN tr30 / vol30 ELSE 0 END AS ts30 FROM ucands JOIN r10 USING (candidate_id) JOIN r30 USING (candidate_id) JOIN (SELECT candidate_id, count(*) AS n FROM pre GROUP BY 1) USING (candidate_id))
-    SELECT candidate_id, {O.r6('vol10', 'reg_vol_10')}, {O.r6('vol30', 'reg_vol_30')}, {O.r6('vr', 'reg_vol_ratio')}, {O.r6('tr10', 'reg_trend_10')}, {O.r6('tr30', 'reg_trend_30')}, {O.r6('ts10', 'reg_trend_strength_10')}, {O.r6('ts30', 'reg_trend_strength_30')}, {O.r6('rng10 / greatest(zone_width, 0.25)', 'reg_range_ratio_10')}, {O.r6('rng30 / greatest(zone_width, 0.25)', 'reg_range_ratio_30')}, {O.r6('CAST(n AS DOUBLE)', 'reg_pretrigger_bar_count')}, CASE WHEN vr > 1.1 THEN 1e0 ELSE 0e0 END AS reg_high_vol_state, CASE WHEN abs(ts10) > 1 AND chop10 < 8 THEN 1e0 ELSE 0e0 END AS reg_trending_state, {O.r6('least(chop10, 1000)', 'reg_chop_10')}, {O.r6('least(chop30, 1000)', 'reg_chop_30')} FROM z""",
+    SELECT candidate_id, {O.r6('vol10', 'reg_vol_10')}, {O.r6('vol30', 'reg_vol_30')}, {O.r6('vr', 'reg_vol_ratio')}, {O.r6('tr10', 'reg_trend_10')}, {O.r6('tr30', 'reg_trend_30')}, {O.r6('ts10', 'reg_trend_strength_10')}, {O.r6('ts30', 'reg_trend_strength_30')}, {O.r6('rng10 / greatest(zone_width, 0.25)', 'reg_range_ratio_10')}, {O.r6('rng30 / greatest(zone_width, 0.25)', 'reg_range_ratio_30')}, {O.r6('CAST(n AS DOUBLE)', 'reg_pretrigger_bar_count')}, CASE WHEN vr > 1.1 THEN 1e0 ELSE 0e0 END AS reg_high_vol_state, CASE WHEN abs(ts10) > 1 AND chop10 < 8 THEN 1e0 ELSE 0e0 END AS reg_trending_state, {O.r6('chop10', 'reg_chop_10')}, {O.r6('chop30', 'reg_chop_30')} FROM z""",
 )
 def feature_regime(spark, d):
-    """Volatility and trend regime over the last 10 and 30 bars (chop shown up to 1000)."""
-    m = _matrix(spark, d)
-    cols = [c for c in X.FAMILY_COLUMNS["regime_features"] if "chop" not in c]
-    return _out(m.select("candidate_id", *cols, *[F.least(F.col(c), F.lit(1000.0)).alias(c) for c in ("reg_chop_10", "reg_chop_30")]))
+    """Volatility and trend regime over the last 10 and 30 bars."""
+    return _pick(spark, d, X.FAMILY_COLUMNS["regime_features"])
 
 
 @query(

@@ -122,7 +122,7 @@ def test_tags_and_words(spark):
 
 def test_grid_is_bounded_and_ordered(spark):
     g = T.trial_grid(spark, "translation_policy").collect()
-    assert len(g) == 12 and g[0].decision_threshold == 0.45 and g[0].sizing_policy == "binary_threshold_v1"
+    assert len(g) == 108 and len(T.trial_grid(spark, "translation_policy", cap=12).collect()) == 12 and g[0].decision_threshold == 0.45 and g[0].sizing_policy == "binary_threshold_v1"
     with pytest.raises(ValueError):
         T.trial_grid(spark, "nothing")
 
