@@ -70,8 +70,8 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     files = max(1, -(-volume // file_bytes), pages.sparkSession.sparkContext.defaultParallelism)
     # narrow rows only: which ids revisit which; an id that repeats may do both
     referring = facts.join(winners.where("n > 1").select("sha1", "size", "first"), ["sha1", "size"]).where("id < first").select("id", "sha1", "first").distinct()
-    placed = rows.withColumn("sha1", F.sha1("body")).repartition(int(files), "id")
-    told = placed.join(referring.repartition(int(files), "id"), ["id", "sha1"], "left")
+    placed = rows.withColumn("sha1", F.sha1("body")).repartition(int(files), "id", "sha1")
+    told = placed.join(referring.repartition(int(files), "id", "sha1"), ["id", "sha1"], "left")
     digest = F.concat(F.lit("sha1:"), base32(F.col("sha1")))
     is_first = F.col("first").isNull()
     name = lambda c: F.concat(F.lit("<urn:barloom:page:"), c.cast("string"), F.lit(">"))
