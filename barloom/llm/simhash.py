@@ -238,6 +238,11 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shi
     values = stored(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2")).alias("first")), "fps")
     reach = components(links(values.select("fp"), radius=radius, segments=segments))
     rooted = values.join(reach.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    return rows_of(docs, rooted, doc_id=doc_id, text=text)
+
+
+def rows_of(docs: DataFrame, rooted: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` with the least ``first`` of every ``root``; of identical rows one."""
     winners = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__k1", "first.__k2").distinct()
     ident, body = long_id(docs, doc_id), docs[f"`{text}`"]
     kept = docs.select("*", *row_key(ident, body)).join(winners, ["__k1", "__k2"], "left_semi")

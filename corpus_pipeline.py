@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, likelihood, packing, simhash, site_lines
+from barloom.llm import decontaminate, likelihood, near_copies, packing, site_lines
 from barloom.llm.shared import stored
 
 
@@ -28,13 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of near copies.
-
-    Fingerprints are over distinct words and linked at five bits: over three- or
-    five-word shingles a similarity of 0.8 is ten bits away, out of reach of
-    any index, over distinct words it is four.
-    """
-    return simhash.keep_one(docs, shingle=1, distinct=True, radius=5, segments=16)
+    """One row of every group of texts with a five-word shingle similarity of 0.8 or more."""
+    return near_copies.keep_one(docs, shingle=5, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
