@@ -94,7 +94,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = shared_path(pages, "warc")
-    warc.write_archives(pages, path, least=0, compression="gzip")
+    warc.write_archives(pages, path, least=0, compression="records")
     records = warc.read_archives(spark, path, blocks=False).where("kind = 'record'")
     return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
                           F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))

@@ -4,6 +4,10 @@ Writing.  A record is its header, an empty line, its block and two line ends.
 The text sink with those line ends as its separator writes just that, on any
 file system Spark knows, with Spark's commit of whole tasks.
 
+With one gzip member per record the records are packed in the tasks, before
+they are shuffled.  The sink writes a member but for its last byte, which is
+the top byte of a length below 16 MiB and so the zero that serves as separator.
+
 Reading.  Files are read whole, as they are written in bounded sizes, plain or
 as gzip members.  A record counts only if its version line, header, length,
 line ends and digests hold.  After a failed check the reader searches for the
@@ -14,6 +18,7 @@ between as a quarantined gap.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -59,8 +64,9 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     largest id is the response, the others are revisits that refer to it; of
     rows that repeat that id with that payload all are responses.  A null
     payload is empty, a null url is left out of the header, rows with a null id
-    are responses, as nothing can refer to them.  With ``compression="gzip"`` a
-    file is one gzip member of many records.
+    are responses, as nothing can refer to them.  With ``compression="records"``
+    every record is a gzip member, as archives prescribe; with ``"gzip"`` a file
+    is one gzip member of many records.
     """
     body = F.coalesce(pages[f"`{html}`"].cast("string"), F.lit(""))
     rows = pages.select(long_id(pages, page_id).alias("id"), pages[f"`{url}`"].cast("string").alias("url"), body.alias("body"))
@@ -70,27 +76,58 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     files = max(1, -(-volume // file_bytes), pages.sparkSession.sparkContext.defaultParallelism)
     # narrow rows only: which ids revisit which; an id that repeats may do both
     referring = facts.join(winners.where("n > 1").select("sha1", "size", "first"), ["sha1", "size"]).where("id < first").select("id", "sha1", "first").distinct()
-    placed = rows.withColumn("sha1", F.sha1("body")).repartition(int(files), "id", "sha1")
-    told = placed.join(referring.repartition(int(files), "id", "sha1"), ["id", "sha1"], "left")
-    digest = F.concat(F.lit("sha1:"), base32(F.col("sha1")))
-    is_first = F.col("first").isNull()
     name = lambda c: F.concat(F.lit("<urn:barloom:page:"), c.cast("string"), F.lit(">"))
-    block = F.when(is_first, F.concat(F.lit(_HTTP.decode()), F.col("body"))).otherwise(F.lit(_HTTP.decode()))
-    record = F.concat(header({
-        "WARC-Type": F.when(is_first, "response").otherwise("revisit"),
-        "WARC-Record-ID": F.coalesce(name(F.col("id")), F.lit("<urn:barloom:page:>")),
-        # an url is one line, whatever the table holds
-        "WARC-Target-URI": F.regexp_replace("url", r"\s+", "%20"),
-        "WARC-Date": F.lit("1970-01-01T00:00:00Z"),
-        "WARC-Payload-Digest": digest,
-        "WARC-Block-Digest": F.concat(F.lit("sha1:"), base32(F.sha1(block))),
-        "WARC-Refers-To": name(F.col("first")),
-        "WARC-Profile": F.when(is_first, None).otherwise(_PROFILE),
-        "X-Payload-Length": F.octet_length("body").cast("string"),
-        "Content-Type": F.lit("application/http;msgtype=response"),
-        "Content-Length": F.octet_length(block).cast("string"),
-    }), block)
-    told.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+    def record(size, first=None):
+        """The record of a row: a response, or a revisit that refers to ``first``."""
+        kind, block = ("response", F.concat(F.lit(_HTTP.decode()), F.col("body"))) if first is None else ("revisit", F.lit(_HTTP.decode()))
+        revisit = {} if first is None else {"WARC-Refers-To": name(first), "WARC-Profile": F.lit(_PROFILE)}
+        return F.concat(header({
+            "WARC-Type": F.lit(kind),
+            "WARC-Record-ID": F.coalesce(name(F.col("id")), F.lit("<urn:barloom:page:>")),
+            # an url is one line, whatever the table holds
+            "WARC-Target-URI": F.regexp_replace("url", r"\s+", "%20"),
+            "WARC-Date": F.lit("1970-01-01T00:00:00Z"),
+            "WARC-Payload-Digest": F.concat(F.lit("sha1:"), base32(F.col("sha1"))),
+            "WARC-Block-Digest": F.concat(F.lit("sha1:"), base32(F.sha1(block))),
+            **revisit,
+            "X-Payload-Length": size.cast("string"),
+            "Content-Type": F.lit("application/http;msgtype=response"),
+            "Content-Length": F.octet_length(block).cast("string"),
+        }), block)
+
+    placed, size = rows.withColumn("sha1", F.sha1("body")), F.octet_length("body")
+    if compression == "records":
+        placed = placed.select("id", "sha1", "url", size.alias("size"), record(size).alias("record")).mapInArrow(_pack, "id bigint, sha1 string, url string, size int, packed binary")
+    told = placed.repartition(int(files), "id", "sha1").join(referring.repartition(int(files), "id", "sha1"), ["id", "sha1"], "left")
+    first = F.col("first")
+    if compression == "records":
+        packed = told.select("packed", F.when(first.isNotNull(), record(F.col("size"), first)).alias("record")).mapInArrow(_repack, "packed binary")
+        packed.select(F.col("packed").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+        return
+    value = F.when(first.isNull(), record(size)).otherwise(record(size, first))
+    told.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+
+
+def member(record: bytes) -> bytes:
+    """A record and its line ends as gzip, but for the last byte, which is zero."""
+    data = gzip.compress(record + b"\r\n\r\n", 6, mtime=0)
+    # of a record of 16 MiB or more the length ends otherwise: an empty member follows
+    return (data + gzip.compress(b"", mtime=0) if data[-1] else data)[:-1]
+
+
+def _pack(batches):
+    for batch in batches:
+        # ids, digests and urls go on beside the packed record
+        packed = [member(r.as_buffer().to_pybytes()) for r in batch.column("record")]
+        names = ["id", "sha1", "url", "size"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(packed, pa.binary())], names=[*names, "packed"])
+
+
+def _repack(batches):
+    for batch in batches:
+        packed = [p.as_py() if not r.is_valid else member(r.as_buffer().to_pybytes()) for p, r in zip(batch.column("packed"), batch.column("record"))]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["packed"])
 
 
 class BadRecord(ValueError):
@@ -201,14 +238,16 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]
         yield "gap", gap, len(data) - gap, {"reason": why}, b""
 
 
-def read_archives(spark: SparkSession, path: str, *, blocks: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, *, blocks: bool = True, pattern: str = "*") -> DataFrame:
     """``(kind, file, offset, length, reason, type, record_id, refers_to, digest, payload_bytes[, payload])``.
 
     ``kind`` is "record" or "gap".  Digest and length of a response are those
     of the payload read, which the reader has held against the header; a
-    revisit has those its header gives.  A file of no bytes gives no rows.
+    revisit has those its header gives.  A file of no bytes gives no rows.  All
+    files below ``path`` whose names fit ``pattern`` are read, but those that
+    Spark takes as hidden (a leading "_" or ".").
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
     names = ["kind", "file", "offset", "length", "reason", "type", "record_id", "refers_to", "digest", "payload_bytes"] + ["payload"] * blocks
 
     def run(batches):
