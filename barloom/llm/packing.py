@@ -32,6 +32,9 @@ from barloom.llm.shared import long_id, stored, utf8
 
 #: Phases of multiplicative weights and their rate.
 PHASES, RATE = 32, 0.3
+#: Pieces up to which the rest is left to best fit, and how often the program is
+#: solved again at most.
+REST, AGAIN = 1 << 16, 8
 
 
 class WordEncoder:
@@ -161,10 +164,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     """Configurations and how many sequences take each; every piece is in exactly one."""
     rest = {n: k for n, k in histogram.items() if 0 < n < capacity and k > 0}
     out = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
-    counts = fractional(rest, capacity) if rest else {}
-    ranked = sorted(counts.items(), key=lambda c: (capacity - sum(c[0]), -c[1], c[0]))
-    slack = capacity // 512
-    for up in (False, True):
+
+    def take(ranked, slack: int, up: bool) -> None:
         for config, x in ranked:
             times = Counter(config)
             most = min(rest.get(n, 0) // k for n, k in times.items())
@@ -173,28 +174,64 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
                 out.append((config, n))
                 for m, k in times.items():
                     rest[m] -= k * n
+
+    def solved():
+        counts = fractional({n: k for n, k in rest.items() if k}, capacity)
+        return sorted(counts.items(), key=lambda c: (capacity - sum(c[0]), -c[1], c[0]))
+
+    if rest:
+        ranked = solved()
+        for up in (False, True):
+            take(ranked, capacity // 512, up)
+    for _ in range(AGAIN):
+        left = sum(rest.values())
+        if left <= REST:
+            break
+        take(solved(), capacity, False)
+        if sum(rest.values()) == left:
+            break
     return out + _best_fit(rest, capacity)
 
 
 def _best_fit(rest: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Longest first, each piece into the fullest open sequence it fits."""
+    """Longest first, each piece into the fullest open sequence it fits.
+
+    Sequences that hold the same are one entry with their number.  A piece that
+    leaves room for another of its length makes its sequence the fullest that
+    fits, so a sequence takes all pieces of a length that it can at once.
+    """
     rooms: list[int] = []
-    open_: dict[int, list[list[int]]] = defaultdict(list)
+    open_: dict[int, Counter] = defaultdict(Counter)
+
+    def put(held: tuple, number: int, room: int) -> None:
+        if not open_[room]:
+            insort(rooms, room)
+        open_[room][held] += number
+
     for n in sorted(rest, reverse=True):
-        for _ in range(rest[n]):
+        left, moved = rest[n], []
+        while left:
             i = bisect_left(rooms, n)
-            if i < len(rooms):
+            if i == len(rooms):
+                room, held, number = capacity, (), left
+            else:
                 room = rooms[i]
-                held = open_[room].pop()
+                held, number = open_[room].popitem()
                 if not open_[room]:
                     del rooms[i]
-            else:
-                room, held = capacity, []
-            held.append(n)
-            if not open_[room - n]:
-                insort(rooms, room - n)
-            open_[room - n].append(held)
-    return [(config, k) for config, k in Counter(tuple(h) for held in open_.values() for h in held).items()]
+            each = room // n
+            full = min(number, left // each)
+            if full:
+                moved.append(((*held, (n, each)), full, room - each * n))
+                left, number = left - full * each, number - full
+            if number and left and left < each:
+                moved.append(((*held, (n, left)), 1, room - left * n))
+                left, number = 0, number - 1
+            if number and held:
+                put(held, number, room)
+        for x in moved:
+            put(*x)
+    return [(tuple(n for n, k in held for _ in range(k)), number) for same in open_.values() for held, number in same.items()]
 
 
 def _table(configs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
