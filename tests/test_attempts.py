@@ -1,9 +1,9 @@
 import random
 from dataclasses import replace
 
-from conftest import SPEC, bars_frame, random_session
+from market_fixtures import SPEC, bars_frame, random_session
 
-import brute
+import market_brute as brute
 from barloom.operators.attempts import event_driven_candidates
 from barloom.operators.zones import opening_zones
 

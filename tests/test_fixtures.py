@@ -3,7 +3,7 @@
 from dataclasses import replace
 
 import pytest
-from conftest import SPEC, bars_frame
+from market_fixtures import SPEC, bars_frame
 from pyspark.sql import functions as F
 
 from barloom.operators import candidates as C

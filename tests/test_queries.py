@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import SF_DIR
+from market_fixtures import SF_DIR
 
 from barloom.plans import all_queries
 

@@ -4,7 +4,7 @@ import random
 from dataclasses import replace
 
 import pytest
-from conftest import SPEC, bars_frame, random_session
+from market_fixtures import SPEC, bars_frame, random_session
 from pyspark.sql import functions as F
 
 from barloom.operators import candidates as C

@@ -1,8 +1,8 @@
 import random
 
-import brute
+import market_brute as brute
 import pytest
-from conftest import SPEC, bars_frame, random_session
+from market_fixtures import SPEC, bars_frame, random_session
 from pyspark.sql import functions as F
 
 from barloom.functions.asof import asof
