@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import brute  # noqa: E402
-from conftest import ODD, odd_docs  # noqa: E402
+import corpus_brute as brute  # noqa: E402
+from odd import ODD, odd_docs  # noqa: E402
 
 from barloom.llm import decontaminate, likelihood, packing, queries, shards, simhash, site_lines, suffixes, token_prefixes, units, warc  # noqa: E402
 
