@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, likelihood, packing, shards, simhash, site_lines, suffixes, token_prefixes, units, warc
+from barloom.llm import decontaminate, exact, likelihood, merkle, packing, shards, simhash, site_lines, suffixes, token_prefixes, units, warc, whitening
 from barloom.llm.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=200, kept=False).drop("removed_spans")
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+@query("op12_merkle_manifest")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(docs, fields=["doc_id", "source", "lang", "n_chars", "text"], group="lang", claimed={"text": exact.ascii_lower(F.col("text"))}, when=third)
+
+
+@query("op13_exact_groups", sql="""
+    WITH d AS (
+        SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents
+    )
+    SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+    FROM d WINDOW g AS (PARTITION BY text_sha256)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
