@@ -91,14 +91,17 @@ def _by_block(rows: DataFrame, one: Callable[[list[dict]], pa.RecordBatch], sche
     return rows.repartition("tree", "block").sortWithinPartitions("tree", "block", "rank").mapInArrow(run, schema)
 
 
-def _own_tree(leaves: list[dict]) -> list[list[str]]:
-    return levels([r["leaf"].hex() for r in leaves], LEVELS if leaves[0]["blocks"] > 1 else None)
+def _own_tree(leaves: list[dict], height: int) -> list[list[str]]:
+    return levels([r["leaf"].hex() for r in leaves], height if leaves[0]["blocks"] > 1 else None)
 
 
-def _root(leaves: list[dict]) -> pa.RecordBatch:
-    first = leaves[0]
-    return pa.RecordBatch.from_pylist([{"tree": first["tree"], "block": first["block"], "root": _own_tree(leaves)[-1][0]}],
-                                      pa.schema([("tree", pa.int64()), ("block", pa.int64()), ("root", pa.string())]))
+def _root(height: int):
+    kinds = pa.schema([("tree", pa.int64()), ("block", pa.int64()), ("root", pa.string())])
+
+    def one(leaves: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"tree": leaves[0]["tree"], "block": leaves[0]["block"], "root": _own_tree(leaves, height)[-1][0]}], kinds)
+
+    return one
 
 
 def exchange(state: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def _rounds(state: DataFrame) -> DataFrame:
     return state
 
 
-def _proofs(proofs: bool):
+def _proofs(height: int, proofs: bool):
     kinds = [("doc_id", pa.int64()), ("leaf", pa.string()), ("subroot", pa.string()), ("root", pa.string()), ("proof_sha256", pa.string()), ("folded_root", pa.string())]
     if proofs:
         kinds.append(("proof", pa.list_(pa.struct([("pos", pa.int32()), ("nodes", pa.list_(pa.string()))]))))
@@ -143,7 +146,7 @@ def _proofs(proofs: bool):
     def one(rows: list[dict]) -> pa.RecordBatch:
         above, leaves = rows[0], rows[1:]
         upper = [(s["pos"], s["nodes"]) for s in above["path"]]
-        tail, tree, out = "".join(siblings(upper)), _own_tree(leaves), []
+        tail, tree, out = "".join(siblings(upper)), _own_tree(leaves, height), []
         for at, row in enumerate(leaves):
             lower = list(steps(tree, at))
             told = row["claimed"] or row["leaf"]
@@ -157,7 +160,7 @@ def _proofs(proofs: bool):
 
 
 def manifest(docs: DataFrame, *, fields: list[str], group: str = "lang", doc_id: str = "doc_id", claimed: dict[str, Column] | None = None,
-             when: Column | None = None, proofs: bool = False) -> DataFrame:
+             when: Column | None = None, proofs: bool = False, height: int = LEVELS) -> DataFrame:
     """``(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified[, proof])`` per row.
 
     A leaf hashes ``fields``.  The leaves of a ``group`` value stand by id (null
@@ -166,6 +169,8 @@ def manifest(docs: DataFrame, *, fields: list[str], group: str = "lang", doc_id:
     the subroots in the order of the values (null first) likewise to the root.
     ``proof_sha256`` hashes the siblings on the way from the leaf to the root.
 
+    Blocks have up to ``8 ** height`` leaves.
+
     ``claimed`` gives other contents of fields, as a copy of the table may have
     them, ``when`` the rows to which they apply: ``folded_root`` is the root
     that follows from such a leaf and the true siblings, ``verified`` whether it
@@ -183,17 +188,17 @@ def manifest(docs: DataFrame, *, fields: list[str], group: str = "lang", doc_id:
     ranked = numbered(leaves, ["value", "doc_id", "leaf", "tie"], "ranked").drop("tie")
     values = numbered(ranked.groupBy("value").agg(F.min("number").alias("first"), F.count("*").alias("rows")), ["value"], "values")
     values = stored(values.select(F.col("value").alias("__value"), "first", "rows", F.col("number").alias("tree")), "trees")
-    size = FANOUT**LEVELS
+    size = FANOUT**height
     rank = F.col("number") - F.col("first")
     placed = ranked.join(values, ranked["value"].eqNullSafe(values["__value"])).select(
         "tree", F.floor(rank / size).alias("block"), rank.alias("rank"), "doc_id", "leaf", "claimed", F.ceil(F.col("rows") / size).alias("blocks"))
     placed = stored(placed, "placed")
-    roots = _by_block(placed.select("tree", "block", "rank", "leaf", "blocks"), _root, "tree bigint, block bigint, root string")
+    roots = _by_block(placed.select("tree", "block", "rank", "leaf", "blocks"), _root(height), "tree bigint, block bigint, root string")
     start = roots.select("tree", "block", F.lit(None).cast("string").alias("subroot"), F.col("tree").alias("top"), F.col("block").alias("unit"), F.lit(0).cast("bigint").alias("at"),
                          "root", F.array().cast(_PATH).alias("path"))
     inside = _rounds(start)
     above = _rounds(inside.withColumns({"subroot": F.col("root"), "top": F.lit(0).cast("bigint"), "unit": F.col("tree"), "at": F.col("block")}))
     both = placed.unionByName(above.select("tree", "block", "subroot", "root", "path", F.lit(-1).cast("bigint").alias("rank")), allowMissingColumns=True)
     schema = "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string" + f", proof {_PATH}" * proofs
-    found = _by_block(both, _proofs(proofs), schema)
+    found = _by_block(both, _proofs(height, proofs), schema)
     return found.select("*", (F.col("folded_root") == F.col("root")).alias("verified"))
