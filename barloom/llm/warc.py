@@ -35,6 +35,8 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Header fields that a record may repeat.
+_REPEATED = {"warc-concurrent-to"}
 #: Bytes of payload per archive file.
 FILE_BYTES = 16 << 20
 
@@ -142,12 +144,20 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     end = data.find(b"\r\n\r\n", version.end() - 2)
     if end < 0:
         raise BadRecord("header without end")
-    fields = {}
+    # a record that was cut off inside its header is followed by the next one
+    if _VERSION.search(data, version.end(), end + 2):
+        raise BadRecord("version line inside a header")
+    fields: dict[str, str] = {}
     for line in data[version.end() : end].split(b"\r\n"):
         key, colon, value = line.partition(b":")
         if line and not colon:
             raise BadRecord("header line without colon")
-        fields[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        if b"\r" in line or b"\n" in line:
+            raise BadRecord("header line with a broken end")
+        name = key.decode("latin-1").strip().lower()
+        if name in fields and name not in _REPEATED:
+            raise BadRecord(f"{name} given twice")
+        fields[name] = value.decode("utf-8", "replace").strip()
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields or "warc-record-id" not in fields:
         raise BadRecord("header without length, type or id")
     start = end + 4

@@ -4,6 +4,9 @@ import gzip
 import hashlib
 import os
 
+from odd import odd_docs
+from pyspark.sql import functions as F
+
 from barloom.llm import queries, warc
 
 
@@ -51,3 +54,35 @@ def test_files_of_any_name_are_read(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path / "in")).where("kind = 'record'")
     assert rows.count() == 84
     assert warc.read_archives(spark, str(tmp_path / "in"), pattern="*.gz").where("kind = 'record'").count() == 42
+
+
+def test_every_cut_of_a_record_leaves_the_next_one_whole(spark, tmp_path):
+    plain = b"".join(gzip.decompress(p) for p in written(spark, str(tmp_path / "w"), compression="records"))
+    whole = [(at, n, fields, block) for kind, at, n, fields, block in warc.salvage(plain) if kind == "record"]
+    revisit = next(r for r in whole if r[2]["warc-type"] == "revisit")
+    response = next(r for r in whole if r[2]["warc-type"] == "response")
+    for first, second in ((revisit, response), (response, revisit)):
+        cut_off, kept = (plain[r[0] : r[0] + r[1]] for r in (first, second))
+        for at in range(1, len(cut_off)):
+            rows = list(warc.salvage(cut_off[:at] + kept))
+            assert [(k, a, n) for k, a, n, _, _ in rows] == [("gap", 0, at), ("record", at, len(kept))], at
+            assert rows[1][3] == second[2] and rows[1][4] == second[3]
+
+
+def test_headers_that_no_writer_makes_are_gaps():
+    good = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 2\r\n%s\r\nhi\r\n\r\n"
+    assert kinds(good % b"WARC-Concurrent-To: <b>\r\nWARC-Concurrent-To: <c>\r\n") == ["record"]
+    for line in (b"WARC-Type: response\r\n", b"A: x\rB: y\r\n", b"A: x\nB: y\r\n", b"no colon\r\n"):
+        assert kinds(good % line) == ["gap"]
+
+
+def test_odd_pages_come_back(spark, tmp_path):
+    pages = odd_docs(spark).selectExpr("doc_id AS page_id", "source AS url", "text AS html", "fp AS id", "fp AS sha1", "score AS size", "fp AS first")
+    want = [(r["page_id"], len((r["html"] or "").encode())) for r in pages.collect()]
+    for how in ("none", "gzip", "records"):
+        warc.write_archives(pages, str(tmp_path / how), compression=how)
+        rows = warc.read_archives(spark, str(tmp_path / how))
+        got = rows.select(warc.page_of(F.col("record_id")), "payload_bytes").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and rows.where("kind = 'gap'").count() == 0
+        warc.write_archives(pages.limit(0), str(tmp_path / f"{how}-empty"), compression=how)
+        assert warc.read_archives(spark, str(tmp_path / f"{how}-empty")).count() == 0
