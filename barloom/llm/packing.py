@@ -6,19 +6,21 @@ is a multiset of lengths that fits one sequence.  The covering program over
 configurations is solved by multiplicative weights: a knapsack dynamic program
 prices, for every length, the best configuration that holds it; lengths that a
 phase covers too often become cheaper, the others dearer.  The fractional
-counts are rounded down and then, where pieces are left, up, and the rest,
-whose size follows from the number of configurations and not from the data, is
-packed best fit first.  The n-th piece of a length finds its sequence and
-offset by arithmetic from its number alone.
+counts are rounded down, full configurations once up, and the program is solved
+again for what is left while that places much.  The rest is rounded by pricing
+in whole numbers: a knapsack program bounded by the supply gives the longest
+piece its fullest filling, as often as the supply allows.  The n-th piece of a
+length finds its sequence and offset by arithmetic from its number alone.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import os
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -32,9 +34,9 @@ from barloom.llm.shared import long_id, stored, utf8
 
 #: Phases of multiplicative weights and their rate.
 PHASES, RATE = 32, 0.3
-#: Pieces up to which the rest is left to best fit, and how often the program is
-#: solved again at most.
-REST, AGAIN = 1 << 16, 8
+#: How often the program is solved at most, and the share of the pieces that a
+#: solution has to place for another one.
+AGAIN, AGAIN_SHARE = 8, 0.25
 
 
 class WordEncoder:
@@ -44,7 +46,9 @@ class WordEncoder:
     white space, so the ids of a text are those of its words.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
+        # a pool of threads in every worker would only wait for the others' cores
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
@@ -160,78 +164,83 @@ def fractional(demand: dict[int, int], capacity: int, phases: int = PHASES) -> d
     return counts
 
 
+def _sums(below: int, length: int, supply: int, capacity: int) -> int:
+    """Bit set of the sums of ``below`` with up to ``supply`` more pieces of a length."""
+    count, step, full = min(supply, capacity // length), 1, (1 << (capacity + 1)) - 1
+    while count > 0:
+        step = min(step, count)
+        below |= (below << (length * step)) & full
+        count -= step
+        step *= 2
+    return below
+
+
+def _priced(rest: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations for the supply that is left, by a knapsack program bounded by it.
+
+    Each holds the longest piece and the fullest filling beside it, of long
+    pieces before short ones, and is used as often as the supply allows.  Every
+    one uses up a length or leaves less of it than a sequence could hold, so
+    their number depends on the capacity alone.
+    """
+    rest, out = {n: k for n, k in rest.items() if k > 0}, []
+    lengths, sums = sorted(rest), [1]  # sums[i]: those of lengths[:i]
+    while lengths:
+        for n in lengths[len(sums) - 1 :]:
+            sums.append(_sums(sums[-1], n, rest[n], capacity))
+        longest = lengths[-1]
+        beside = _sums(sums[len(lengths) - 1], longest, rest[longest] - 1, capacity - longest)
+        room = (beside & ((1 << (capacity - longest + 1)) - 1)).bit_length() - 1
+        times = Counter({longest: 1})
+        for n, below in zip(reversed(lengths), reversed(sums[: len(lengths)])):
+            if not room:
+                break
+            k = min(rest[n] - (n == longest), room // n)
+            while not below >> (room - k * n) & 1:
+                k -= 1
+            if k:
+                times[n] += k
+                room -= k * n
+        copies = min(rest[n] // k for n, k in times.items())
+        out.append((tuple(sorted(times.elements(), reverse=True)), copies))
+        for n, k in times.items():
+            rest[n] -= k * copies
+        # the sums of lengths below the first whose supply now counts stay
+        scarce = [n for n in times if rest[n] < capacity // n]
+        del sums[bisect_left(lengths, min(scarce)) + 1 :]
+        lengths = [n for n in lengths if rest[n]]
+    return out
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and how many sequences take each; every piece is in exactly one."""
     rest = {n: k for n, k in histogram.items() if 0 < n < capacity and k > 0}
     out = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
 
-    def take(ranked, slack: int, up: bool) -> None:
+    def take(ranked, slack: int, up: bool) -> int:
+        taken = 0
         for config, x in ranked:
             times = Counter(config)
             most = min(rest.get(n, 0) // k for n, k in times.items())
             n = min(most, 1 if up else math.floor(x + 1e-9))
             if n and capacity - sum(config) <= slack:
                 out.append((config, n))
+                taken += n * len(config)
                 for m, k in times.items():
                     rest[m] -= k * n
+        return taken
 
-    def solved():
-        counts = fractional({n: k for n, k in rest.items() if k}, capacity)
-        return sorted(counts.items(), key=lambda c: (capacity - sum(c[0]), -c[1], c[0]))
-
-    if rest:
-        ranked = solved()
-        for up in (False, True):
-            take(ranked, capacity // 512, up)
     for _ in range(AGAIN):
         left = sum(rest.values())
-        if left <= REST:
+        if not left:
             break
-        take(solved(), capacity, False)
-        if sum(rest.values()) == left:
+        counts = fractional({n: k for n, k in rest.items() if k}, capacity)
+        ranked = sorted(counts.items(), key=lambda c: (capacity - sum(c[0]), -c[1], c[0]))
+        taken = take(ranked, capacity // 512, False)
+        take(ranked, 0, True)
+        if taken < left * AGAIN_SHARE:
             break
-    return out + _best_fit(rest, capacity)
-
-
-def _best_fit(rest: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Longest first, each piece into the fullest open sequence it fits.
-
-    Sequences that hold the same are one entry with their number.  A piece that
-    leaves room for another of its length makes its sequence the fullest that
-    fits, so a sequence takes all pieces of a length that it can at once.
-    """
-    rooms: list[int] = []
-    open_: dict[int, Counter] = defaultdict(Counter)
-
-    def put(held: tuple, number: int, room: int) -> None:
-        if not open_[room]:
-            insort(rooms, room)
-        open_[room][held] += number
-
-    for n in sorted(rest, reverse=True):
-        left, moved = rest[n], []
-        while left:
-            i = bisect_left(rooms, n)
-            if i == len(rooms):
-                room, held, number = capacity, (), left
-            else:
-                room = rooms[i]
-                held, number = open_[room].popitem()
-                if not open_[room]:
-                    del rooms[i]
-            each = room // n
-            full = min(number, left // each)
-            if full:
-                moved.append(((*held, (n, each)), full, room - each * n))
-                left, number = left - full * each, number - full
-            if number and left and left < each:
-                moved.append(((*held, (n, left)), 1, room - left * n))
-                left, number = 0, number - 1
-            if number and held:
-                put(held, number, room)
-        for x in moved:
-            put(*x)
-    return [(tuple(n for n, k in held for _ in range(k)), number) for same in open_.values() for held, number in same.items()]
+    return out + _priced(rest, capacity)
 
 
 def _table(configs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:

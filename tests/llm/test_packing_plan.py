@@ -23,25 +23,31 @@ def pieces(plan):
     return used
 
 
-def best_fit_by_piece(rest, capacity):
-    rooms = []
-    for n in sorted(rest, reverse=True):
-        for _ in range(rest[n]):
-            fits = [r for r in rooms if r >= n]
-            if fits:
-                rooms.remove(min(fits))
-                rooms.append(min(fits) - n)
-            else:
-                rooms.append(capacity - n)
-    return Counter(rooms)
-
-
-def test_rest_by_counts_equals_best_fit_by_piece(rnd):
+def fullest(rest, capacity):
+    """The most that pieces beside one of the longest can fill, by trying all."""
+    longest = max(rest)
+    sums = {longest}
+    for n in [n for n, k in rest.items() for _ in range(k - (n == longest))]:
+        sums |= {s + n for s in sums if s + n <= capacity}
+    return max(sums)
+
+
+def test_priced_rest_is_the_fullest_filling(rnd):
     for _ in range(300):
-        rest = {n: rnd.randint(0, 9) for n in rnd.sample(range(1, 60), 8)}
-        plan = packing._best_fit(rest, 60)
-        assert pieces(plan) == Counter({n: k for n, k in rest.items() if k})
-        assert best_fit_by_piece(rest, 60) == sum((Counter({60 - sum(c): n}) for c, n in plan), Counter())
+        rest = {n: rnd.randint(1, 9) for n in rnd.sample(range(1, 60), 8)}
+        plan = packing._priced(rest, 60)
+        assert pieces(plan) == Counter(rest)
+        for config, n in plan:
+            assert config[0] == max(rest) and sum(config) == fullest(rest, 60)
+            rest = {m: k - n * config.count(m) for m, k in rest.items() if k > n * config.count(m)}
+        assert not rest
+
+
+def test_number_of_configurations_does_not_follow_the_pieces(limit, rnd):
+    histogram = {n: rnd.randint(1, 10**9) for n in range(1, 4096, 3)}
+    plan = packing.plan(histogram, 4096)
+    assert pieces(plan) == Counter(histogram) and len(plan) < 40_000
+    assert sum(n for _, n in plan) <= 1.01 * sum(n * k for n, k in histogram.items()) / 4096
 
 
 def test_short_supply_of_fillers(limit):
@@ -51,11 +57,3 @@ def test_short_supply_of_fillers(limit):
     assert pieces(plan) == Counter(histogram) and all(sum(c) <= 4096 for c, _ in plan)
     # no two of the long ones share a sequence, and all others fit beside them
     assert sum(n for _, n in plan) <= (many + many // 2) * 1.001
-
-
-def test_the_program_packs_the_rest(monkeypatch, limit):
-    seen = []
-    kept = packing._best_fit
-    monkeypatch.setattr(packing, "_best_fit", lambda rest, capacity: seen.append(sum(rest.values())) or kept(rest, capacity))
-    packing.plan({2500: 700_000, 1500: 50_000, 90: 3_000}, 4096)
-    assert seen[0] <= packing.REST
