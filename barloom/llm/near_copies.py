@@ -79,10 +79,12 @@ def _facts(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     return map_batches(rows, one, "doc_id bigint, __k1 bigint, __k2 bigint, sid bigint, fp bigint, n bigint, bands array<bigint>")
 
 
-def candidate_links(values: DataFrame, *, radius: int = 5, segments: int = 16) -> DataFrame:
+def candidate_links(values: DataFrame, *, radius: int = 3, segments: int = 8) -> DataFrame:
     """``(a, b)`` links of sets that share a band or have fingerprints within ``radius``.
 
-    ``values`` has one row ``(sid, fp, bands)`` per set.
+    ``values`` has one row ``(sid, fp, bands)`` per set.  The keys of this ring
+    have 32 bits; those of wider radii have fewer, and the sets that meet in
+    them by chance would grow with the square of the corpus.
     """
     keys = values.select("sid", F.posexplode(F.concat("bands", F.array("fp"))).alias("kid", "key"))
     first = keys.groupBy("kid", "key").agg(F.min("sid").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
