@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import math
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left
@@ -39,34 +40,63 @@ PHASES, RATE = 32, 0.3
 AGAIN, AGAIN_SHARE = 8, 0.25
 
 
+# fixed values: the pre-tokenizer's pattern on lower-case ASCII without white space
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class WordEncoder:
     """Token ids of a text as little-endian 32-bit words, by its white-space words.
 
     The pre-tokenizer never joins what ASCII white space parts and drops the
-    white space, so the ids of a text are those of its words.
+    white space, so the ids of a text are those of its words.  It cuts ASCII
+    words by a plain pattern once they are lower case, so their ids are those of
+    their parts, of which there are fewer.  Words in other scripts, and those
+    that may hold a special string, are left to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         # a pool of threads in every worker would only wait for the others' cores
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known, self.older = Tokenizer.from_file(path), limit, {}, {}
+        self.tokenizer, self.limit, self.known, self.older, self.parts = Tokenizer.from_file(path), limit, {}, {}, {}
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def encoded_parts(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts that the pre-tokenizer leaves whole, by one text of all of them."""
+        e = self.tokenizer.encode(b" ".join(parts).decode("ascii"), add_special_tokens=False)
+        ids, owner = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        if len(cuts) + 1 != len(parts):
+            return self.encoded(parts)
+        data, ends = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[i:j] for i, j in zip(ends, ends[1:])]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > self.limit:
             self.known, self.older = {}, self.known
-        older, fresh = self.older, []
+        if len(self.parts) > self.limit:
+            self.parts = {}
+        older, whole, cut, fresh = self.older, [], [], {}
         for w in words:
             if w in older:
                 self.known[w] = older[w]
+            elif not w.isascii() or b"<|" in w:
+                whole.append(w)
             else:
-                fresh.append(w)
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                self.known[w] = array("I", e.ids).tobytes()
+                parts = _PARTS.findall(w.lower())
+                cut.append((w, parts))
+                for p in parts:
+                    if p not in self.parts:
+                        fresh[p] = None
+        for todo, encode, into, step in ((whole, self.encoded, self.known, 20_000), (list(fresh), self.encoded_parts, self.parts, 2_000)):
+            for i in range(0, len(todo), step):
+                into.update(zip(todo[i : i + step], encode(todo[i : i + step])))
+        for w, parts in cut:
+            self.known[w] = b"".join([self.parts[p] for p in parts])
 
     def __call__(self, text: bytes) -> bytes:
         words = text.split()
@@ -138,28 +168,28 @@ def fractional(demand: dict[int, int], capacity: int, phases: int = PHASES) -> d
     lengths = np.array(sorted(demand), dtype=np.int64)
     need = np.array([demand[int(n)] for n in lengths], dtype=float)
     place = {int(n): i for i, n in enumerate(lengths)}
-    weight, counts = lengths / capacity, defaultdict(float)
+    weight, counts, shares = lengths / capacity, defaultdict(float), (need / phases).tolist()
     for _ in range(phases):
-        _, taken = _price(weight, lengths, capacity)
-        covered = np.zeros(len(lengths))
-        for i, n in enumerate(lengths):
-            share = need[i] / phases - covered[i]
+        taken = _price(weight, lengths, capacity)[1].tolist()
+        covered = [0.0] * len(place)
+        for i, n in enumerate(place):
+            share = shares[i] - covered[i]
             if share <= 0:
                 continue
-            config, room = [int(n)], capacity - int(n)
+            config, room = [n], capacity - n
             while room > 0:
-                t = int(taken[room])
+                t = taken[room]
                 if t:
                     config.append(t)
                     room -= t
                 else:
                     room -= 1
             times = Counter(config)
-            times_of = share / times[int(n)]
+            times_of = share / times[n]
             for m, k in times.items():
                 covered[place[m]] += k * times_of
             counts[tuple(sorted(config, reverse=True))] += times_of
-        weight = weight * np.exp(-RATE * np.clip(covered * phases / need - 1, -1, 4))
+        weight = weight * np.exp(-RATE * np.clip(np.array(covered) * phases / need - 1, -1, 4))
         weight = np.maximum(weight / np.max(weight * capacity / lengths), lengths / capacity * 1e-3)
     return counts
 
