@@ -106,6 +106,22 @@ def walk_forward_predictions(tagged: DataFrame, cols: list[str], *, family: str
     return out
 
 
+def walk_forward_scores(spans: DataFrame, cols: list[str], *, label: str = "label") -> DataFrame:
+    """Out-of-sample predictions of all folds of ``splits.fold_spans``, the linear models fitted in one job.
+
+    Folds without both labels in training or in test have none.
+    """
+    from barloom.operators.many_fits import fit_many, predict_many
+
+    folds = spans.agg(F.max("spans.train.hi")).first()[0] or 0
+    zero = lambda n: F.array(F.struct((F.col(f"spans.{n}.lo") - 1).alias("lo"), (F.col(f"spans.{n}.hi") - 1).alias("hi")))
+    base = cut(spans.select(*[c for c in spans.columns if c not in ("spans", "probability", "prediction")], zero("train").alias("train"), zero("test").alias("test")))
+    fits = fit_many(base, cols, [str(i + 1) for i in range(folds)], label=label)
+    preds = predict_many(base.drop("train"), fits, name="fold").withColumn("fold", F.col("fold").cast("int"))
+    both = preds.groupBy("fold").agg(F.countDistinct(label).alias("n")).filter("n > 1").select("fold")
+    return preds.join(both, "fold", "left_semi")
+
+
 def walk_forward_check(scored: DataFrame, minimum: float = 0.55) -> DataFrame:
     """Mean fold AUC and its status; pending below two folds."""
     folds = split_metrics(scored, by=["fold"])

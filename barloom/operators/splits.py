@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -31,45 +31,108 @@ def fold_table(sessions: DataFrame, *, min_train: int = 10, test: int = 5, step:
     )
 
 
+#: Roles of a row in a fold, in the order in which they are looked for.
+ROLES = ("test", "purged", "embargo", "train")
+
+
+def _starts_by(fold_starts: DataFrame) -> DataFrame:
+    """``(__day, __before, __at)``: how many folds start before a day, and the starts on it.
+
+    One row per day from the first start to the last, and one day at either end.
+    """
+    each = fold_starts.filter("test_start IS NOT NULL").withColumn("__day", F.to_date("test_start"))
+    ends = each.agg(F.min("__day").alias("a"), F.max("__day").alias("b"))
+    days = ends.filter("a IS NOT NULL").select(F.explode(F.sequence(F.date_sub("a", 1), F.date_add("b", 1))).alias("__day"))
+    per = days.join(each.groupBy("__day").agg(F.array_sort(F.collect_list("test_start")).alias("__at")), "__day", "left")
+    n = F.coalesce(F.size("__at"), F.lit(0))
+    return per.select("__day", F.coalesce("__at", F.array().cast(per.schema["__at"].dataType)).alias("__at"),
+                      (F.sum(F.when(n > 0, n).otherwise(0)).over(W.orderBy("__day")) - F.when(n > 0, n).otherwise(0)).cast("int").alias("__before"))
+
+
+def _fold_numbers(rows: DataFrame, min_train: int, test: int, step: int) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Session ordinals, the number of folds as one row, and the first and last fold that test a session."""
+    ranks = session_ranks(rows)
+    total = fold_table(ranks, min_train=min_train, test=test, step=step).agg(F.count(F.lit(1)).cast("int").alias("__folds"))
+    last = F.least(F.floor((F.col("session_no") - min_train) / step) + 1, F.col("__folds"))
+    return ranks, total, F.greatest(F.floor((F.col("session_no") - test - min_train) / step) + 2, F.lit(1)), last
+
+
+def _fold_starts(rows: DataFrame, ranks: DataFrame, total: DataFrame, first_test: Column, last_test: Column) -> DataFrame:
+    """``(fold, test_start)``: the first entry a fold tests."""
+    firsts = rows.groupBy("session_date").agg(F.min("entry_time").alias("__t")).join(ranks, "session_date")
+    tests = firsts.crossJoin(F.broadcast(total)).filter((last_test >= first_test) & (last_test > 0))
+    return tests.select(F.explode(F.sequence(first_test, last_test)).alias("fold"), "__t").groupBy("fold").agg(F.min("__t").alias("test_start"))
+
+
+def fold_spans(rows: DataFrame, *, min_train: int = 10, test: int = 5, step: int | None = None, embargo_seconds: int = 0) -> DataFrame:
+    """Rows with ``session_no`` and ``spans``: per role of ``ROLES`` the folds ``lo..hi`` (from 1) that give it.
+
+    ``rows`` carry session_date, entry_time, exit_time.  In a fold that tests
+    later sessions, a row whose exit reaches the first test entry is purged, one
+    that exits within the embargo before it is embargoed, all others train.  As
+    folds follow each other in time, a row has each role in one stretch of
+    folds, found by arithmetic on its session and by a calendar of the folds'
+    first entries; rows are not repeated.  Empty spans have ``lo > hi``.  A row
+    without an exit trains.
+    """
+    ranks, total, first_test, last_test = _fold_numbers(rows, min_train, test, step or test)
+    count = F.col("__folds")
+    calendar = _starts_by(_fold_starts(rows, ranks, total, first_test, last_test))
+    ends = calendar.agg(F.min("__day").alias("__a"), F.max("__day").alias("__b"))
+    # one row per calendar date: far below the broadcast limit
+    r = rows.join(F.broadcast(ranks), "session_date").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(ends))
+    reach = {"__hit": F.col("exit_time"), "__near": F.col("exit_time") + F.make_dt_interval(secs=F.lit(embargo_seconds).cast("decimal(18,6)"))}
+    for name, until in reach.items():
+        day = F.greatest(F.least(F.to_date(until), F.col("__b")), F.col("__a"))
+        r = r.withColumns({"__day": day, "__until": until}).join(F.broadcast(calendar), "__day", "left")
+        inside = F.size(F.filter("__at", lambda t: t <= F.col("__until")))
+        r = r.withColumn(name, F.when(F.col("__until").isNull() | F.col("__at").isNull(), 0).otherwise(F.col("__before") + inside)).drop("__day", "__until", "__at", "__before")
+    later = F.greatest(last_test + 1, F.lit(1))
+    lows = {"test": first_test, "purged": later, "embargo": F.greatest(later, F.col("__hit") + 1), "train": F.greatest(later, F.col("__near") + 1)}
+    highs = {"test": last_test, "purged": F.col("__hit"), "embargo": F.col("__near"), "train": count}
+    span = lambda n: F.struct(lows[n].cast("int").alias("lo"), highs[n].cast("int").alias("hi"))
+    return r.select(*[F.col(f"`{c}`") for c in rows.columns], "session_no", F.struct(*[span(n).alias(n) for n in ROLES]).alias("spans"))
+
+
 def walk_forward(
     rows: DataFrame, *, min_train: int = 10, test: int = 5, step: int | None = None, embargo_seconds: int = 0,
 ) -> DataFrame:
-    """Rows tagged ``(fold, role)`` with role train, test, purged or embargo.
+    """Rows once per fold, tagged ``(fold, test_start, role)``; ``fold_spans`` says the same without repeating them."""
+    spans = fold_spans(rows, min_train=min_train, test=test, step=step, embargo_seconds=embargo_seconds)
+    roles = F.filter(F.array(*[F.struct(F.lit(n).alias("role"), F.col(f"spans.{n}.lo").alias("lo"), F.col(f"spans.{n}.hi").alias("hi")) for n in ROLES]), lambda s: s["lo"] <= s["hi"])
+    each = spans.withColumn("__r", F.explode(roles)).withColumn("fold", F.explode(F.sequence("__r.lo", "__r.hi")))
+    starts = _fold_starts(rows, *_fold_numbers(rows, min_train, test, step or test))
+    # one row per fold, of which there are fewer than dates
+    return each.withColumn("role", F.col("__r.role")).drop("__r", "spans").join(F.broadcast(starts.select(F.col("fold").cast("int").alias("fold"), "test_start")), "fold")
 
-    ``rows`` carry session_date, entry_time, exit_time.  A training row whose
-    exit reaches the fold's first test entry is purged; one that exits within
-    the embargo before it is embargoed.  Folds are a small table of bounds.
-    """
-    ranks = session_ranks(rows)
-    folds = fold_table(ranks, min_train=min_train, test=test, step=step)
-    # one row per calendar date and per fold: both far below the broadcast limit
-    r = rows.join(F.broadcast(ranks), "session_date")
-    tagged = r.join(F.broadcast(folds), F.col("session_no") < F.col("stop"))
-    is_test = F.col("session_no") >= F.col("start")
-    first = (
-        tagged.filter(is_test).groupBy("fold").agg(F.min("entry_time").alias("test_start"))
-    )
-    tagged = tagged.join(F.broadcast(first), "fold")
-    reach, edge = F.col("exit_time"), F.col("test_start")
-    role = ladder(
-        [
-            (is_test, "test"),
-            (reach >= edge, "purged"),
-            (reach >= edge - F.make_dt_interval(secs=F.lit(embargo_seconds).cast("decimal(18,6)")), "embargo"),
-        ],
-        "train",
-    )
-    return tagged.withColumn("role", role).drop("start", "stop")
 
+def role_measures(spans: DataFrame, measures: dict[str, Column] | None = None) -> DataFrame:
+    """``(fold, role, rows, *measures)``: counts and sums per fold and role.
 
-def fold_summary(tagged: DataFrame) -> DataFrame:
-    n = lambda r: F.count(F.when(F.col("role") == r, 1))
-    return tagged.groupBy("fold").agg(
-        n("train").alias("train_rows"), n("test").alias("test_rows"),
-        n("purged").alias("purged_rows"), n("embargo").alias("embargo_rows"),
-        F.countDistinct(F.when(F.col("role") != "test", F.col("session_no"))).alias("train_sessions"),
-        F.countDistinct(F.when(F.col("role") == "test", F.col("session_no"))).alias("test_sessions"),
-    )
+    A row adds where its span of folds begins and takes away behind its end;
+    running sums over the folds, a table of its own size, give every fold.
+    """
+    measures = {"rows": F.lit(1).cast("bigint"), **(measures or {})}
+    ends = [F.struct(F.lit(n).alias("role"), F.col(f"spans.{n}.lo").alias("at"), F.lit(1).alias("sign")) for n in ROLES]
+    ends += [F.struct(F.lit(n).alias("role"), (F.col(f"spans.{n}.hi") + 1).alias("at"), F.lit(-1).alias("sign")) for n in ROLES]
+    held = F.array(*[F.when(F.col(f"spans.{n}.lo") <= F.col(f"spans.{n}.hi"), e) for n, e in zip(ROLES * 2, ends)])
+    each = spans.select(*[m.alias(f"__{k}") for k, m in measures.items()], F.explode(F.filter(held, lambda e: e.isNotNull())).alias("e"))
+    deltas = each.groupBy("e.role", "e.at").agg(*[F.sum(F.col(f"__{k}") * F.col("e.sign")).alias(k) for k in measures])
+    # folds x roles rows from here on
+    top = spans.agg(F.max("spans.train.hi").alias("n"))
+    grid = top.filter("n > 0").select(F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at")).crossJoin(spans.sparkSession.createDataFrame([(n,) for n in ROLES], "role string"))
+    w = W.partitionBy("role").orderBy("at")
+    dense = grid.join(deltas, ["role", "at"], "left")
+    return dense.select(F.col("at").alias("fold"), "role", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in measures]).filter("rows > 0")
+
+
+def fold_summary(rows: DataFrame, *, min_train: int = 10, test: int = 5, step: int | None = None, embargo_seconds: int = 0) -> DataFrame:
+    """Rows per role and sessions of every fold that has rows."""
+    counts = role_measures(fold_spans(rows, min_train=min_train, test=test, step=step, embargo_seconds=embargo_seconds))
+    n = lambda r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("rows"))), F.lit(0)).alias(f"{r}_rows")
+    first = F.lit(min_train) + (F.col("fold") - 1) * (step or test)
+    return counts.groupBy("fold").agg(n("train"), n("test"), n("purged"), n("embargo")).select(
+        "*", first.cast("bigint").alias("train_sessions"), F.lit(test).cast("bigint").alias("test_sessions"))
 
 
 def session_groups(sessions: DataFrame, n_groups: int) -> DataFrame:
@@ -118,6 +181,32 @@ def cpcv_rows(
     return tagged.withColumn("role", ladder([(is_test, "test"), (near, "purged")], "train")).drop("zones", "group_a", "group_b")
 
 
+def cpcv_spans(rows: DataFrame, paths: DataFrame, n_groups: int, *, horizon: int = 20, embargo_bars: int = 0, per_group: bool = False, key: str = "candidate_id") -> DataFrame:
+    """Rows with ``train`` and ``test``: spans of path numbers (from 0, in the order of path_id) with that role.
+
+    The rules are those of ``cpcv_rows``; rows are not repeated per path.
+    """
+    numbered = running(rows, [], ["entry_time", key], {"row_no": ("count", F.lit(1))})
+    grouped = numbered.join(F.broadcast(session_groups(session_ranks(rows), n_groups)), "session_date")
+    bounds = grouped.groupBy("session_group").agg(F.min("row_no").alias("lo"), F.max("row_no").alias("hi"))
+    bound = lambda g: F.filter("__b", lambda b: b["session_group"] == g)[0]
+    # one row: the bounds of the groups and the configured paths
+    packed = bounds.agg(F.collect_list(F.struct("session_group", "lo", "hi")).alias("__b")).crossJoin(
+        paths.agg(F.array_sort(F.collect_list(F.struct("path_id", "group_a", "group_b"))).alias("__p")))
+    zones = F.transform("__p", lambda p: F.struct(bound(p["group_a"]).alias("a"), bound(p["group_b"]).alias("b"), p["group_a"].alias("group_a"), p["group_b"].alias("group_b")))
+    r = grouped.crossJoin(F.broadcast(packed.select(zones.alias("__z"))))
+
+    def near(z):
+        inside = lambda lo, hi: (F.col("row_no") >= lo - horizon) & (F.col("row_no") <= hi + embargo_bars)
+        if per_group:
+            return F.coalesce(inside(z["a"]["lo"], z["a"]["hi"]), F.lit(False)) | F.coalesce(inside(z["b"]["lo"], z["b"]["hi"]), F.lit(False))
+        return F.coalesce(inside(F.least(z["a"]["lo"], z["b"]["lo"]), F.greatest(z["a"]["hi"], z["b"]["hi"])), F.lit(False))
+
+    is_test = lambda z: (F.col("session_group") == z["group_a"]) | (F.col("session_group") == z["group_b"])
+    at = lambda rule: F.filter(F.transform("__z", lambda z, i: F.when(rule(z), F.struct(i.alias("lo"), i.alias("hi")))), lambda s: s.isNotNull())
+    return r.select(*[F.col(f"`{x}`") for x in rows.columns], "row_no", "session_group", at(lambda z: ~is_test(z) & ~near(z)).alias("train"), at(is_test).alias("test"))
+
+
 def label_overlap(labels: DataFrame, by: list[str], key: str = "candidate_id") -> DataFrame:
     """Share of adjacent labels (by entry) whose windows overlap."""
     r = running(labels.filter(F.col("entry_time").isNotNull() & F.col("exit_time").isNotNull()), by,

@@ -8,6 +8,7 @@ from barloom.functions.columns import at, round_doubles
 from barloom.functions.stats import exact_quantiles
 from barloom.operators import backtest as B
 from barloom.operators import candidates as C
+from barloom.operators import cpcv as CV
 from barloom.operators import exits as E
 from barloom.operators import market_state as MS
 from barloom.operators import models as ML
@@ -16,10 +17,11 @@ from barloom.operators import splits as S
 from barloom.operators import trials as T
 from barloom.operators.features import numeric_feature_columns
 from barloom.plans import oracle_sql as O
-from barloom.plans.evaluation_queries import FEATURES, W0, _out
+from barloom.plans.evaluation_queries import _CP, FEATURES, W0, _out, _pairs
 from barloom.plans.feature_queries import _labelled, _replay
 from barloom.plans.registry import query
 from barloom.plans.tables import STUDY, path_rows, setups, study_bars, thresholds
+from barloom.plans.trade_queries import REC, book
 from barloom.session import cut
 from barloom.sources.bars import opening_window
 from barloom.sources.manifest import boundary_role
@@ -149,3 +151,45 @@ def labelled_inventory(spark, d):
     return round_doubles(_labelled(spark, d).groupBy("symbol", "setup_subtype").agg(
         F.count(F.lit(1)).alias("setups"), F.avg("label").alias("positive_rate"), F.sum("pnl_r").alias("total_pnl_r")
     ))
+
+
+# ------------------------------------------------------------------ combinatorial paths
+
+_TEST = f"""{_CP}, tr AS (SELECT rn.*, pt.path_id FROM rn JOIN {_pairs()} ON rn.session_group IN (ga, gb)),
+dv AS (SELECT path_id FROM tr GROUP BY 1 HAVING count(DISTINCT label) > 1), tt AS (SELECT tr.* FROM tr JOIN dv USING (path_id)),
+rk AS (SELECT path_id, label, avg(r) OVER (PARTITION BY path_id, probability) AS r FROM (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY probability) AS r FROM tt)),
+au AS (SELECT path_id, (sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)) AS roc_auc FROM rk GROUP BY 1),
+pr AS (SELECT path_id, count(*) AS test_rows, CASE WHEN count(*) FILTER (WHERE probability >= 0.5) = 0 THEN 0 ELSE count(*) FILTER (WHERE probability >= 0.5 AND label = 1) / count(*) FILTER (WHERE probability >= 0.5) END AS precision FROM tt GROUP BY 1),
+{book("SELECT tt.*, path_id AS run, 0.45e0 AS threshold, 'binary_threshold_v1' AS sizing, 'none' AS throttle, 'none' AS regime_size FROM tt WHERE probability >= 0.45")},
+pt2 AS (SELECT run, count(*) AS trade_count, sum(executed_pnl_r) AS total_pnl_r, avg(executed_pnl_r) AS avg_trade_r, avg(CASE WHEN executed_pnl_r > 0 THEN 1 ELSE 0 END) AS win_rate, min(drawdown_r) AS max_drawdown_r, avg(executed_pnl_r) / nullif(stddev_samp(executed_pnl_r), 0) * sqrt(count(*)) AS sharpe_r FROM eq GROUP BY 1),
+lg AS (SELECT run, least(min(l), 0) AS largest_loss_cluster_r FROM (SELECT run, w, sum(CASE WHEN executed_pnl_r < 0 THEN executed_pnl_r ELSE 0 END) AS l FROM (SELECT *, sum(CASE WHEN executed_pnl_r < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY entry_time, candidate_id) AS w FROM ex) GROUP BY 1, 2) GROUP BY 1),
+pb AS (SELECT pr.path_id, test_rows, roc_auc, precision, coalesce(trade_count, 0) AS trade_count, coalesce(total_pnl_r, 0) AS total_pnl_r, coalesce(avg_trade_r, 0) AS avg_trade_r, coalesce(win_rate, 0) AS win_rate, coalesce(max_drawdown_r, 0) AS max_drawdown_r, sharpe_r, coalesce(largest_loss_cluster_r, 0) AS largest_loss_cluster_r FROM pr JOIN au USING (path_id) LEFT JOIN pt2 ON pt2.run = path_id LEFT JOIN lg ON lg.run = path_id)"""
+_PATH_COLUMNS = ["roc_auc", "precision", "total_pnl_r", "avg_trade_r", "win_rate", "max_drawdown_r", "sharpe_r", "largest_loss_cluster_r"]
+
+
+def _given_paths(spark, d):
+    paths = S.cpcv_paths(spark, 8)
+    spans = S.cpcv_spans(setups(spark, d), paths, 8, embargo_bars=2)
+    return CV.path_backtests(cut(CV.diverse(CV.tested(spans, sorted(r["path_id"] for r in paths.collect())))))[1]
+
+
+@query("cpcv_given_probabilities", f"{REC}, {_TEST} SELECT path_id, test_rows, trade_count, {', '.join(O.r6(c) for c in _PATH_COLUMNS)} FROM pb")
+def cpcv_given_probabilities(spark, d):
+    """Every path's metrics and backtest on the probabilities the records hold."""
+    return _out(_given_paths(spark, d).select("path_id", "test_rows", "trade_count", *_PATH_COLUMNS))
+
+
+def _fitted_paths(spark, d):
+    return CV.path_backtests(cut(CV.cpcv_predictions(setups(spark, d), FEATURES, n_groups=8, embargo_bars=2)))
+
+
+@query("cpcv_path_backtest")
+def cpcv_path_backtest(spark, d):
+    """A fit and a backtest per path, all fits in one job."""
+    return _out(_fitted_paths(spark, d)[1].select("path_id", "test_rows", "trade_count", *_PATH_COLUMNS))
+
+
+@query("cpcv_path_audit")
+def cpcv_path_audit(spark, d):
+    """Roll-up over the fitted paths."""
+    return _out(CV.cpcv_audit(cut(_fitted_paths(spark, d)[1])))

@@ -35,25 +35,24 @@ def _out(df):
 # ------------------------------------------------------------------ splits
 
 _WF = """sn AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS session_no FROM (SELECT DISTINCT session_date FROM setups)),
-fo AS (SELECT CAST(row_number() OVER (ORDER BY st) AS INT) AS fold, st FROM (SELECT unnest(generate_series(200, (SELECT count(*) FROM sn) - 300, 300)) AS st)),
-tg AS (SELECT s.*, sn.session_no, fo.fold, fo.st, sn.session_no >= fo.st AS is_test FROM setups s JOIN sn USING (session_date) JOIN fo ON sn.session_no < fo.st + 300),
+fo AS (SELECT CAST(row_number() OVER (ORDER BY st) AS INT) AS fold, st FROM (SELECT unnest(generate_series(10, (SELECT count(*) FROM sn) - 5, 5)) AS st)),
+tg AS (SELECT s.*, sn.session_no, fo.fold, fo.st, sn.session_no >= fo.st AS is_test FROM setups s JOIN sn USING (session_date) JOIN fo ON sn.session_no < fo.st + 5),
 ts AS (SELECT fold, min(entry_time) AS t0 FROM tg WHERE is_test GROUP BY 1),
 rl AS (SELECT *, CASE WHEN is_test THEN 'test' WHEN exit_time >= t0 THEN 'purged' WHEN exit_time >= t0 - INTERVAL 20 HOUR THEN 'embargo' ELSE 'train' END AS role FROM tg JOIN ts USING (fold))"""
 
 
-def _folds(spark, d):
-    return S.walk_forward(setups(spark, d), min_train=200, test=300, embargo_seconds=20 * 3600)
+_EMBARGO = 20 * 3600
 
 
 @query("split_walk_forward", f"{W0}, {_WF} SELECT fold, role, count(*) AS rows, {O.r6('sum(pnl_r)', 'pnl_r')} FROM rl GROUP BY 1, 2")
 def split_walk_forward(spark, d):
     """Expanding folds with purge and embargo."""
-    return _out(_folds(spark, d).withColumn("fold", F.col("fold").cast("int")).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.sum("pnl_r").alias("pnl_r")))
+    return _out(S.role_measures(S.fold_spans(setups(spark, d), embargo_seconds=_EMBARGO), {"pnl_r": F.col("pnl_r")}))
 
 
 @query("split_fold_summary", f"{W0}, {_WF} SELECT fold, count(*) FILTER (WHERE role = 'train') AS train_rows, count(*) FILTER (WHERE role = 'test') AS test_rows, count(*) FILTER (WHERE role = 'purged') AS purged_rows, count(*) FILTER (WHERE role = 'embargo') AS embargo_rows, CAST(count(DISTINCT session_no) FILTER (WHERE NOT is_test) AS BIGINT) AS train_sessions, CAST(count(DISTINCT session_no) FILTER (WHERE is_test) AS BIGINT) AS test_sessions FROM rl GROUP BY 1")
 def split_fold_summary(spark, d):
-    return S.fold_summary(_folds(spark, d).withColumn("fold", F.col("fold").cast("int")))
+    return S.fold_summary(setups(spark, d), embargo_seconds=_EMBARGO)
 
 
 _GRP = """sn AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS session_no FROM (SELECT DISTINCT session_date FROM setups)),
@@ -843,11 +842,20 @@ def model_holdout_linear(spark, d):
     return _out(ML.split_metrics(ML.score(m, s.filter("role = 'test'"), FEATURES)))
 
 
+def _walk(spark, d):
+    return ML.walk_forward_scores(S.fold_spans(setups(spark, d), embargo_seconds=60), FEATURES)
+
+
 @query("model_walk_forward")
 def model_walk_forward(spark, d):
-    """Per-fold fits stitched out of sample, and the AUC check."""
-    f = S.walk_forward(setups(spark, d).drop("probability", "prediction"), min_train=600, test=600)
-    return _out(ML.walk_forward_check(ML.walk_forward_predictions(f, FEATURES)))
+    """Fits of all folds in one job, stitched out of sample, and the AUC check."""
+    return _out(ML.walk_forward_check(_walk(spark, d)))
+
+
+@query("model_walk_forward_folds")
+def model_walk_forward_folds(spark, d):
+    """Rows, AUC, precision and Brier score of every fold."""
+    return _out(ML.split_metrics(cut(_walk(spark, d)), by=["fold"]))
 
 
 @query("model_linear_attribution")
