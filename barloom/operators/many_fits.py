@@ -68,31 +68,33 @@ def _design(x: np.ndarray, center: np.ndarray, scale: np.ndarray, missing: list[
     return np.hstack([np.ones((len(x), 1)), np.where(gap, 0.0, u), gap[:, missing].astype(float)])
 
 
-def _members(batch: pa.RecordBatch, fits: int, rows: slice) -> np.ndarray:
-    """1 where a row trains a fit, from its spans ``lo..hi``."""
-    lo, hi = batch.column("lo").slice(rows.start, rows.stop - rows.start), batch.column("hi").slice(rows.start, rows.stop - rows.start)
+def _members(batch: pa.RecordBatch, rows: slice) -> tuple[slice, np.ndarray]:
+    """The stretch of fits that some of the rows train, and 1 where a row trains a fit of it."""
+    lo, hi = (batch.column(n).slice(rows.start, rows.stop - rows.start) for n in ("lo", "hi"))
     at = np.repeat(np.arange(len(lo)), lo.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    marks = np.zeros((len(lo), fits + 1))
-    np.add.at(marks, (at, lo.flatten().to_numpy(zero_copy_only=False)), 1)
-    np.add.at(marks, (at, hi.flatten().to_numpy(zero_copy_only=False) + 1), -1)
-    return np.cumsum(marks, axis=1)[:, :fits]
+    lo, hi = (c.flatten().to_numpy(zero_copy_only=False) for c in (lo, hi))
+    first, last = int(lo.min()), int(hi.max())
+    marks = np.zeros((rows.stop - rows.start, last - first + 2))
+    np.add.at(marks, (at, lo - first), 1)
+    np.add.at(marks, (at, hi - first + 1), -1)
+    return slice(first, last + 1), np.cumsum(marks, axis=1)[:, :-1]
 
 
 def _blocks(batch: pa.RecordBatch, fits: int):
     step = max(1, CELLS // max(fits, 1))
     for a in range(0, batch.num_rows, step):
         rows = slice(a, min(a + step, batch.num_rows))
-        yield rows, _members(batch, fits, rows)
+        yield rows, *_members(batch, rows)
 
 
 def _summed(rows: DataFrame, block, width: int, fits: int, finish, schema: str) -> pd.DataFrame:
-    """``finish(fit, summed vector)`` per fit, of ``block(batch, rows, members)`` vectors (width x fits)."""
+    """``finish(fit, summed vector)`` per fit, of ``block(batch, rows, stretch, members)`` vectors (width x stretch)."""
 
     def partial(batches):
         total = np.zeros((width, fits))
         for batch in batches:
-            for part, members in _blocks(batch, fits):
-                total += block(batch, part, members)
+            for part, stretch, members in _blocks(batch, fits):
+                total[:, stretch] += block(batch, part, stretch, members)
         used = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[:, used].T), pa.list_(pa.float64()))], names=["fit", "v"])
 
@@ -107,7 +109,9 @@ def prepared(rows: DataFrame, cols: list[str], label: str, train: Column) -> Dat
     x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols])
     spans = F.filter(train, lambda s: s["lo"] <= s["hi"])
     data = rows.filter(F.col(label).isNotNull()).select(x.alias("x"), F.col(label).cast("double").alias("y"), spans.alias("s"))
-    return data.filter(F.size("s") > 0).select("x", "y", F.transform("s", lambda s: s["lo"].cast("int")).alias("lo"), F.transform("s", lambda s: s["hi"].cast("int")).alias("hi"))
+    spans = data.filter(F.size("s") > 0).select("x", "y", F.transform("s", lambda s: s["lo"].cast("int")).alias("lo"), F.transform("s", lambda s: s["hi"].cast("int")).alias("hi"))
+    # rows of one stretch of fits together: a block then holds few fits
+    return spans.sortWithinPartitions("lo")
 
 
 def _medians(rows: DataFrame, fits: int, cols: int, missing: list[int], edges: list[np.ndarray]) -> np.ndarray:
@@ -116,11 +120,11 @@ def _medians(rows: DataFrame, fits: int, cols: int, missing: list[int], edges: l
     for j in missing:
         edge = edges[j]
 
-        def block(batch, part, members, j=j, edge=edge):
+        def block(batch, part, stretch, members, j=j, edge=edge):
             x = _lists(batch, "x", cols)[part, j]
             known = ~np.isnan(x)
             spot = np.searchsorted(edge, x[known], side="left")
-            counts = np.zeros((len(edge) + 1, fits))
+            counts = np.zeros((len(edge) + 1, members.shape[1]))
             order = np.argsort(spot, kind="stable")
             held, start = np.unique(spot[order], return_index=True)
             if len(held):
@@ -136,7 +140,7 @@ def _medians(rows: DataFrame, fits: int, cols: int, missing: list[int], edges: l
     return out
 
 
-def fit_many(rows: DataFrame, cols: list[str], names: list[str], *, label: str = "label", train: str = "train") -> Fits:
+def fit_many(rows: DataFrame, cols: list[str], names: list[str], *, label: str = "label", train: str = "train", uses: list[set[str]] | None = None) -> Fits:
     """Fit one balanced logistic model per name.
 
     ``train`` is a column of spans ``array<struct<lo, hi>>`` of fit numbers (from
@@ -144,7 +148,8 @@ def fit_many(rows: DataFrame, cols: list[str], names: list[str], *, label: str =
     weights its classes to equal sums, standardises by its own deviation and
     has a unit ridge on standardised coefficients, none on the intercept.  Fits
     without both classes are not fitted.  Columns without variance in a fit
-    have a zero coefficient there.  A median is a value of the column, or the
+    have a zero coefficient there, and so do those that ``uses``, the columns of
+    every fit, leaves out.  A median is a value of the column, or the
     nearest of ``STEPS`` quantiles if it has more values.
     """
     k, d = len(names), len(cols)
@@ -180,7 +185,7 @@ def fit_many(rows: DataFrame, cols: list[str], names: list[str], *, label: str =
         a = reduction(fit)
         return a.T @ g @ a, a.T @ v[len(left) :]
 
-    def moments(batch, part, members):
+    def moments(batch, part, stretch, members):
         z = _design(_lists(batch, "x", d)[part], center, scale, missing)
         y = batch.column("y").to_numpy(zero_copy_only=False)[part]
         return np.vstack([(z[:, left] * z[:, right]).T @ members, z.T @ (members * y[:, None])])
@@ -199,17 +204,20 @@ def fit_many(rows: DataFrame, cols: list[str], names: list[str], *, label: str =
         if 0 < positives < n:
             fits.fitted[fit] = True
             ridge[fit], weights[fit] = r, (n / (2 * (n - positives)), n / (2 * positives))
+    if uses is not None:
+        ridge[:, 1:] *= np.array([[c in use for c in cols] for use in uses], dtype=float).reshape(k, d)
     active = np.flatnonzero(fits.fitted)
     while len(active) and fits.rounds < ROUNDS:
         theta, now = fits.theta(), fits.coefficients
 
-        def reweighted(batch, part, members, theta=theta, active=active):
+        def reweighted(batch, part, stretch, members, theta=theta, active=active):
             z = _design(_lists(batch, "x", d)[part], center, scale, missing)
             y = batch.column("y").to_numpy(zero_copy_only=False)[part].astype(int)
-            out = np.zeros((width, k))
-            at = 1.0 / (1.0 + np.exp(-np.clip(z @ theta[active].T, -500, 500)))
-            w = members[:, active] * weights[active][:, y].T
-            out[:, active] = np.vstack([(z[:, left] * z[:, right]).T @ (w * at * (1 - at)), z.T @ (w * (y[:, None] - at))])
+            mine = active[(active >= stretch.start) & (active < stretch.stop)]
+            at = 1.0 / (1.0 + np.exp(-np.clip(z @ theta[mine].T, -500, 500)))
+            w = members[:, mine - stretch.start] * weights[mine][:, y].T
+            out = np.zeros((width, members.shape[1]))
+            out[:, mine - stretch.start] = np.vstack([(z[:, left] * z[:, right]).T @ (w * at * (1 - at)), z.T @ (w * (y[:, None] - at))])
             return out
 
         def step(fit, v, now=now):

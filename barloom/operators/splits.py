@@ -13,10 +13,10 @@ from barloom.functions.columns import fan_out_small, ladder, ratio
 from barloom.functions.scan import running
 
 
-def session_ranks(rows: DataFrame) -> DataFrame:
-    """Ordinal of each session date (0-based): one row per date, never per event."""
-    dates = rows.select("session_date").filter(F.col("session_date").isNotNull()).distinct()
-    return dates.withColumn("session_no", F.row_number().over(W.orderBy("session_date")) - 1)
+def session_ranks(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Ordinal of each session date (0-based), per ``by``: one row per date, never per event."""
+    dates = rows.select(*(by or []), "session_date").filter(F.col("session_date").isNotNull()).distinct()
+    return dates.withColumn("session_no", F.row_number().over(W.partitionBy(*(by or [])).orderBy("session_date")) - 1)
 
 
 def fold_table(sessions: DataFrame, *, min_train: int = 10, test: int = 5, step: int | None = None) -> DataFrame:
@@ -35,36 +35,42 @@ def fold_table(sessions: DataFrame, *, min_train: int = 10, test: int = 5, step:
 ROLES = ("test", "purged", "embargo", "train")
 
 
-def _starts_by(fold_starts: DataFrame) -> DataFrame:
-    """``(__day, __before, __at)``: how many folds start before a day, and the starts on it.
+def _with(df: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join a table of one row per ``by``, or the one row there is."""
+    return df.join(F.broadcast(small), by, how) if by else df.crossJoin(F.broadcast(small))
+
+
+def _starts_by(fold_starts: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, __day, __before, __at)``: how many folds start before a day, and the starts on it.
 
     One row per day from the first start to the last, and one day at either end.
     """
     each = fold_starts.filter("test_start IS NOT NULL").withColumn("__day", F.to_date("test_start"))
-    ends = each.agg(F.min("__day").alias("a"), F.max("__day").alias("b"))
-    days = ends.filter("a IS NOT NULL").select(F.explode(F.sequence(F.date_sub("a", 1), F.date_add("b", 1))).alias("__day"))
-    per = days.join(each.groupBy("__day").agg(F.array_sort(F.collect_list("test_start")).alias("__at")), "__day", "left")
+    ends = each.groupBy(*by).agg(F.min("__day").alias("a"), F.max("__day").alias("b"))
+    days = ends.filter("a IS NOT NULL").select(*by, F.explode(F.sequence(F.date_sub("a", 1), F.date_add("b", 1))).alias("__day"))
+    per = days.join(each.groupBy(*by, "__day").agg(F.array_sort(F.collect_list("test_start")).alias("__at")), [*by, "__day"], "left")
     n = F.coalesce(F.size("__at"), F.lit(0))
-    return per.select("__day", F.coalesce("__at", F.array().cast(per.schema["__at"].dataType)).alias("__at"),
-                      (F.sum(F.when(n > 0, n).otherwise(0)).over(W.orderBy("__day")) - F.when(n > 0, n).otherwise(0)).cast("int").alias("__before"))
+    up_to = F.sum(F.greatest(n, F.lit(0))).over(W.partitionBy(*by).orderBy("__day"))
+    return per.select(*by, "__day", F.coalesce("__at", F.array().cast(per.schema["__at"].dataType)).alias("__at"), (up_to - F.greatest(n, F.lit(0))).cast("int").alias("__before"))
 
 
-def _fold_numbers(rows: DataFrame, min_train: int, test: int, step: int) -> tuple[DataFrame, DataFrame, Column, Column]:
-    """Session ordinals, the number of folds as one row, and the first and last fold that test a session."""
-    ranks = session_ranks(rows)
-    total = fold_table(ranks, min_train=min_train, test=test, step=step).agg(F.count(F.lit(1)).cast("int").alias("__folds"))
+def _fold_numbers(rows: DataFrame, min_train: int, test: int, step: int, by: list[str]) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Session ordinals, the number of folds per ``by``, and the first and last fold that test a session."""
+    ranks = session_ranks(rows, by)
+    spare = F.count(F.lit(1)) - test - min_train
+    total = ranks.groupBy(*by).agg(F.when(spare >= 0, F.floor(spare / step) + 1).otherwise(0).cast("int").alias("__folds"))
     last = F.least(F.floor((F.col("session_no") - min_train) / step) + 1, F.col("__folds"))
     return ranks, total, F.greatest(F.floor((F.col("session_no") - test - min_train) / step) + 2, F.lit(1)), last
 
 
-def _fold_starts(rows: DataFrame, ranks: DataFrame, total: DataFrame, first_test: Column, last_test: Column) -> DataFrame:
-    """``(fold, test_start)``: the first entry a fold tests."""
-    firsts = rows.groupBy("session_date").agg(F.min("entry_time").alias("__t")).join(ranks, "session_date")
-    tests = firsts.crossJoin(F.broadcast(total)).filter((last_test >= first_test) & (last_test > 0))
-    return tests.select(F.explode(F.sequence(first_test, last_test)).alias("fold"), "__t").groupBy("fold").agg(F.min("__t").alias("test_start"))
+def _fold_starts(rows: DataFrame, ranks: DataFrame, total: DataFrame, first_test: Column, last_test: Column, by: list[str]) -> DataFrame:
+    """``(*by, fold, test_start)``: the first entry a fold tests."""
+    firsts = rows.groupBy(*by, "session_date").agg(F.min("entry_time").alias("__t")).join(ranks, [*by, "session_date"])
+    tests = _with(firsts, total, by).filter((last_test >= first_test) & (last_test > 0))
+    return tests.select(*by, F.explode(F.sequence(first_test, last_test)).alias("fold"), "__t").groupBy(*by, "fold").agg(F.min("__t").alias("test_start"))
 
 
-def fold_spans(rows: DataFrame, *, min_train: int = 10, test: int = 5, step: int | None = None, embargo_seconds: int = 0) -> DataFrame:
+def fold_spans(rows: DataFrame, *, min_train: int = 10, test: int = 5, step: int | None = None, embargo_seconds: int = 0, by: list[str] | None = None) -> DataFrame:
     """Rows with ``session_no`` and ``spans``: per role of ``ROLES`` the folds ``lo..hi`` (from 1) that give it.
 
     ``rows`` carry session_date, entry_time, exit_time.  In a fold that tests
@@ -73,18 +79,20 @@ def fold_spans(rows: DataFrame, *, min_train: int = 10, test: int = 5, step: int
     folds follow each other in time, a row has each role in one stretch of
     folds, found by arithmetic on its session and by a calendar of the folds'
     first entries; rows are not repeated.  Empty spans have ``lo > hi``.  A row
-    without an exit trains.
+    without an exit trains.  With ``by`` (a few configured values) every value
+    has sessions and folds of its own.
     """
-    ranks, total, first_test, last_test = _fold_numbers(rows, min_train, test, step or test)
+    by = by or []
+    ranks, total, first_test, last_test = _fold_numbers(rows, min_train, test, step or test, by)
     count = F.col("__folds")
-    calendar = _starts_by(_fold_starts(rows, ranks, total, first_test, last_test))
-    ends = calendar.agg(F.min("__day").alias("__a"), F.max("__day").alias("__b"))
+    calendar = _starts_by(_fold_starts(rows, ranks, total, first_test, last_test, by), by)
+    ends = calendar.groupBy(*by).agg(F.min("__day").alias("__a"), F.max("__day").alias("__b"))
     # one row per calendar date: far below the broadcast limit
-    r = rows.join(F.broadcast(ranks), "session_date").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(ends))
+    r = _with(_with(rows.join(F.broadcast(ranks), [*by, "session_date"]), total, by), ends, by, "left")
     reach = {"__hit": F.col("exit_time"), "__near": F.col("exit_time") + F.make_dt_interval(secs=F.lit(embargo_seconds).cast("decimal(18,6)"))}
     for name, until in reach.items():
         day = F.greatest(F.least(F.to_date(until), F.col("__b")), F.col("__a"))
-        r = r.withColumns({"__day": day, "__until": until}).join(F.broadcast(calendar), "__day", "left")
+        r = r.withColumns({"__day": day, "__until": until}).join(F.broadcast(calendar), [*by, "__day"], "left")
         inside = F.size(F.filter("__at", lambda t: t <= F.col("__until")))
         r = r.withColumn(name, F.when(F.col("__until").isNull() | F.col("__at").isNull(), 0).otherwise(F.col("__before") + inside)).drop("__day", "__until", "__at", "__before")
     later = F.greatest(last_test + 1, F.lit(1))
@@ -101,7 +109,7 @@ def walk_forward(
     spans = fold_spans(rows, min_train=min_train, test=test, step=step, embargo_seconds=embargo_seconds)
     roles = F.filter(F.array(*[F.struct(F.lit(n).alias("role"), F.col(f"spans.{n}.lo").alias("lo"), F.col(f"spans.{n}.hi").alias("hi")) for n in ROLES]), lambda s: s["lo"] <= s["hi"])
     each = spans.withColumn("__r", F.explode(roles)).withColumn("fold", F.explode(F.sequence("__r.lo", "__r.hi")))
-    starts = _fold_starts(rows, *_fold_numbers(rows, min_train, test, step or test))
+    starts = _fold_starts(rows, *_fold_numbers(rows, min_train, test, step or test, []), [])
     # one row per fold, of which there are fewer than dates
     return each.withColumn("role", F.col("__r.role")).drop("__r", "spans").join(F.broadcast(starts.select(F.col("fold").cast("int").alias("fold"), "test_start")), "fold")
 
