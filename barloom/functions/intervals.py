@@ -2,108 +2,143 @@
 
 The state is one value, the time until which the position is busy, so a slice
 of a run is a step function from the busy time on entry to the busy time on
-exit.  Slices are folded in parallel into their (compressed) step function, the
-small functions are chained per run, and each slice is folded once more from
-its known starting state.  No run is ever held by one task.
+exit.  Every trade points to the next one that it allows; pointers composed by
+doubling give the (compressed) step functions of all slices in parallel, the
+small functions are chained per run, and powers of the pointers mark what each
+slice takes from its known start.  No run is ever held by one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from barloom.functions.columns import micros
+from barloom.session import cut
 
 _NEVER = -(1 << 62)
-#: Days per slice of a run: few enough rows for one task, many enough to pay for it.
-SLICE_DAYS = 64
 
 
-def _ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[int]]:
-    """Rows by entry, their entries, and for each row the next one it allows.
+def _follow(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each row, in (entry, key) order, the next one it allows; the number of rows if there is none.
 
-    At one instant only the last row has positive length, so ordering by
-    (entry, exit) is the trade order.
+    A trade of no length allows the next row, as that is not before its exit.
     """
-    pdf = pdf.iloc[np.lexsort((pdf["__out"].to_numpy(), pdf["__in"].to_numpy()))]
-    start, end = pdf["__in"].to_numpy(), pdf["__out"].to_numpy()
-    follow = np.maximum(np.searchsorted(start, end, side="left"), np.arange(len(pdf)) + 1)
-    return pdf, start, follow.tolist()
-
-
-def _step_function(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, start, follow = _ordered(pdf)
-    n, tail = len(pdf), pdf["__out"].tolist()
-    for i in range(n - 1, -1, -1):
-        if follow[i] < n:
-            tail[i] = tail[follow[i]]
-    tail = np.asarray(tail)
-    # one step per run of equal tails, valid for every busy time up to its last entry
-    edge = np.append(tail[1:] != tail[:-1], True)
-    return pd.DataFrame({"__run": pdf["__run"].iloc[0], "__slice": pdf["__slice"].iloc[0],
-                         "__upto": start[edge], "__tail": tail[edge]})
+    return np.maximum(np.searchsorted(start, end, side="left"), np.arange(len(start)) + 1)
+
+
+def tails(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Exit of the last trade taken, if the first one taken is a given row: pointers composed by doubling."""
+    n = len(start)
+    follow, last = np.append(_follow(start, end), n), np.append(np.arange(n), n)
+    while (follow[:n] < n).any():
+        on = follow < n
+        last = np.where(on, last[follow], last)
+        follow = follow[follow]
+    return end[last[:n]]
+
+
+def taken(start: np.ndarray, end: np.ndarray, busy: int) -> np.ndarray:
+    """Rows taken from a busy time on: powers of the pointer, the largest first, spread the set of rows taken."""
+    n = len(start)
+    follow = np.append(_follow(start, end), n)
+    powers = [follow]
+    while (powers[-1][:n] < n).any():
+        powers.append(powers[-1][powers[-1]])
+    on = np.zeros(n + 1, dtype=bool)
+    on[np.searchsorted(start, busy, side="left")] = True
+    for power in reversed(powers):
+        on[power[on]] = True
+    return on[:n]
+
+
+def _runs_of(batch: pa.RecordBatch):
+    """``(run, slice, rows)`` of each stretch of one run and slice in a batch."""
+    run, part = batch.column("__run"), batch.column("__part").to_numpy(zero_copy_only=False)
+    if not batch.num_rows:
+        return
+    codes = run.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    cut_at = np.flatnonzero((np.diff(codes) != 0) | (np.diff(part) != 0)) + 1
+    bounds = [0, *cut_at.tolist(), batch.num_rows]
+    for a, b in zip(bounds, bounds[1:]):
+        yield run[a].as_py(), int(part[a]), slice(a, b)
+
+
+def _times(batch: pa.RecordBatch, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("__in", "__out"))
+
+
+def _steps(batches):
+    """Step function of every slice: the busy time behind it for every busy time before it."""
+    held, times = None, []
+
+    def flush():
+        start, end = (np.concatenate(c) for c in zip(*times))
+        tail = tails(start, end)
+        # one step per run of equal tails, valid for every busy time up to its last entry
+        edge = np.append(tail[1:] != tail[:-1], True)
+        n = int(edge.sum())
+        return pa.RecordBatch.from_arrays([pa.array([held[0]] * n, pa.string()), pa.array([held[1]] * n, pa.int32()), pa.array(start[edge]), pa.array(tail[edge])],
+                                          names=["__run", "__part", "__upto", "__tail"])
+
+    for batch in batches:
+        for run, part, rows in _runs_of(batch):
+            if held is not None and held != (run, part):
+                yield flush()
+                times = []
+            held = (run, part)
+            times.append(_times(batch, rows))
+    if held is not None:
+        yield flush()
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     busy, out = _NEVER, []
-    for s, g in pdf.sort_values(["__slice", "__upto"]).groupby("__slice", sort=True):
+    for s, g in pdf.sort_values(["__part", "__upto"]).groupby("__part", sort=True):
         out.append((pdf["__run"].iloc[0], s, busy))
         hit = np.searchsorted(g["__upto"].to_numpy(), busy, side="left")
         if hit < len(g):
             busy = int(g["__tail"].iloc[hit])
-    return pd.DataFrame(out, columns=["__run", "__slice", "__busy"])
-
-
-def _select(pdf: pd.DataFrame) -> pd.DataFrame:
-    busy = int(pdf["__busy"].iloc[0])
-    pdf, start, follow = _ordered(pdf)
-    keep, i = [], int(np.searchsorted(start, busy, side="left"))
-    while i < len(pdf):
-        keep.append(i)
-        i = follow[i]
-    return pdf.iloc[keep][["__run", "__id"]]
+    return pd.DataFrame(out, columns=["__run", "__part", "__busy"])
 
 
 def non_overlapping(trades: DataFrame, *, run: list[str], entry: str, exit_: str, key: str) -> DataFrame:
     """Rows of ``trades`` kept by the single-position rule, per ``run``.
 
     Trades are taken in (entry, key) order; one is kept when its entry is not
-    before the exit of the last kept trade.
+    before the exit of the last kept trade.  Rows are placed once, in ranges of
+    (run, entry, key) of about equal numbers of rows; a slice is what a task
+    holds of a run.
     """
     at = lambda x: micros(x, trades.schema[x].dataType.typeName())
     runs = F.concat_ws("\u0001", *[F.col(x).cast("string") for x in run]) if run else F.lit("")
-    t = trades.select(
-        runs.alias("__run"), F.col(key).alias("__id"), at(entry).alias("__in"), at(exit_).alias("__out"),
-        F.floor(F.unix_date(F.col(entry).cast("date")) / SLICE_DAYS).cast("int").alias("__slice"),
-    )
-    # at one instant nothing after the first trade of positive length can be kept
-    first = t.filter(F.col("__out") > F.col("__in")).groupBy("__run", "__slice", "__in").agg(
-        F.min("__id").alias("__first")
-    )
-    t = (
-        t.join(first, ["__run", "__slice", "__in"], "left")
-        .filter(F.col("__first").isNull() | (F.col("__id") <= F.col("__first")))
-        .drop("__first")
-    )
-    id_type = trades.schema[key].dataType.simpleString()
-    steps = t.groupBy("__run", "__slice").applyInPandas(
-        _step_function, "__run string, __slice int, __upto bigint, __tail bigint"
-    )
-    starts = steps.groupBy("__run").applyInPandas(_chain, "__run string, __slice int, __busy bigint")
-    kept = (
-        t.join(starts, ["__run", "__slice"])
-        .groupBy("__run", "__slice")
-        .applyInPandas(_select, f"__run string, __id {id_type}")
-    )
-    return (
-        trades.withColumn("__run", runs)
-        .join(kept.withColumnRenamed("__id", key), ["__run", key], "left_semi")
-        .drop("__run")
-        .select(*trades.columns)
-    )
+    order = ["__run", "__in", key]
+    placed = trades.withColumns({"__run": runs, "__in": at(entry), "__out": at(exit_)}).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(placed.withColumn("__part", F.spark_partition_id()))
+    steps = placed.select("__run", "__part", "__in", "__out").mapInArrow(_steps, "__run string, __part int, __upto bigint, __tail bigint")
+    starts = steps.groupBy("__run").applyInPandas(_chain, "__run string, __part int, __busy bigint")
+    # one row per slice: no more than partitions and runs together
+    known = {(r["__run"], r["__part"]): r["__busy"] for r in starts.collect()}
+    busy = trades.sparkSession.sparkContext.broadcast(known)
+
+    def select(batches):
+        held, until = None, _NEVER
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for name, part, rows in _runs_of(batch):
+                if held != (name, part):
+                    held, until = (name, part), busy.value[name, part]
+                start, end = _times(batch, rows)
+                mine = taken(start, end, until)
+                if mine.any():
+                    until = int(end[np.flatnonzero(mine)[-1]])
+                keep[rows] = mine
+            yield batch.filter(pa.array(keep))
+
+    return placed.mapInArrow(select, placed.schema).select(*trades.columns)
 
 
 def trailing_streak(df: DataFrame, *, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -122,9 +157,3 @@ def trailing_streak(df: DataFrame, *, by: list[str], order: list[str], value: st
         F.max("last_value").alias("last_value"),
         F.count(F.when(F.col("__bound").isNull() | (at > F.col("__bound")), 1)).alias("streak"),
     )
-
-
-def islands(df: DataFrame, *, by: list[str], order: list[str], breaks) -> DataFrame:
-    """Number the stretches between rows where ``breaks`` holds (small groups only)."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(w))

@@ -73,6 +73,16 @@ def sized_signals(
     )
 
 
+#: What a summary of a backtest reads of a prediction.
+SUMMARY_COLUMNS = ["candidate_id", "session_date", "direction", "entry_time", "exit_time", "entry_price", "exit_price", "stop_price", "probability", "pnl_r",
+                   "reg_high_vol_state", "reg_trending_state", "policy_size_multiplier"]
+
+
+def lean(preds: DataFrame, *more: str) -> DataFrame:
+    """The columns a summary reads, before rows are repeated per policy."""
+    return preds.select(*[c for c in preds.columns if c in SUMMARY_COLUMNS or c in TRADE_REQUIRED or c in more])
+
+
 def executed_trades(signals: DataFrame, run: list[str], key: str = "candidate_id") -> DataFrame:
     """Trades the single-position account takes, with the equity curve.
 
@@ -184,7 +194,7 @@ def translation_grid(
     )
     grid = fan_out(thresholds, modes)
     s = sized_signals(
-        fan_out(preds, grid), threshold="threshold", sizing=F.col("sizing"), throttle=F.col("throttle"),
+        fan_out(lean(preds), grid), threshold="threshold", sizing=F.col("sizing"), throttle=F.col("throttle"),
         regime_size=F.col("regime_size"), fill=fill,
     )
     run = ["threshold", "mode"]

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from barloom.functions.columns import fan_out, ladder, num0
 from barloom.functions.scan import running
-from barloom.operators.backtest import Fill, run_backtest, sized_signals, utility
+from barloom.operators.backtest import Fill, lean, run_backtest, sized_signals, utility
 from barloom.operators.policies import break_quality, reclaim_meta
 
 # fixed values: configured search spaces: family -> (trial cap, ordered axes)
@@ -77,7 +77,7 @@ def grid_backtest(preds: DataFrame, grid: DataFrame, *, run: str = "trial", fill
     cols = set(grid.columns)
     pick = lambda name, default: F.col(name) if name in cols else default
     s = sized_signals(
-        fan_out(preds, grid), threshold="decision_threshold", sizing=pick("sizing_policy", "binary_threshold_v1"),
+        fan_out(lean(preds), grid), threshold="decision_threshold", sizing=pick("sizing_policy", "binary_threshold_v1"),
         throttle=pick("regime_throttle_policy", "none"), regime_size=pick("regime_size_policy", "none"), fill=fill,
     )
     out = run_backtest(s, [run])[1]
@@ -86,13 +86,13 @@ def grid_backtest(preds: DataFrame, grid: DataFrame, *, run: str = "trial", fill
 
 def gate_cycle(preds: DataFrame, threshold: float, *, regime_size: str = "none", fill: Fill = Fill()) -> DataFrame:
     """Every breakout-quality gate backtested, keyed by gate."""
-    s = sized_signals(break_quality(preds, threshold), threshold=threshold, regime_size=regime_size, fill=fill)
+    s = sized_signals(lean(break_quality(preds, threshold), "gate"), threshold=threshold, regime_size=regime_size, fill=fill)
     return _policy_rows(s, "gate")
 
 
 def meta_cycle(preds: DataFrame, threshold: float, *, regime_size: str = "none", fill: Fill = Fill()) -> DataFrame:
     """Every reclaim gate backtested, keyed by meta."""
-    s = sized_signals(reclaim_meta(preds), threshold=threshold, regime_size=regime_size, fill=fill)
+    s = sized_signals(lean(reclaim_meta(preds), "meta"), threshold=threshold, regime_size=regime_size, fill=fill)
     return _policy_rows(s, "meta")
 
 

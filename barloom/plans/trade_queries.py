@@ -268,14 +268,14 @@ def _grid_values():
     from itertools import product
 
     space = T.SEARCH_SPACES["translation_policy"][1]
-    rows = list(product(*space.values()))[:12]
+    rows = list(product(*space.values()))
     return "(VALUES " + ", ".join(f"({i}, {r[0]}e0, '{r[1]}', '{r[2]}', '{r[3]}')" for i, r in enumerate(rows, 1)) + ") g(trial, threshold, sizing, throttle, regime_size)"
 
 
 @query("trial_translation_cycle", f"{REC}, {book('SELECT s.*, CAST(g.trial AS VARCHAR) AS run, g.* FROM setups s, ' + _grid_values() + ' WHERE probability >= g.threshold')}, {_STAT} SELECT CAST(run AS INT) AS trial, trade_count, {O.r6('total_pnl_r')}, {O.r6('max_drawdown_r')}, {O.r6(_UTIL, 'utility_score')} FROM st")
 def trial_translation_cycle(spark, d):
-    """The first twelve trials of the translation grid in one job keyed by trial."""
-    g = T.grid_backtest(setups(spark, d), T.trial_grid(spark, "translation_policy", cap=12))
+    """All trials of the translation grid in one job keyed by trial."""
+    g = T.grid_backtest(setups(spark, d), T.trial_grid(spark, "translation_policy"))
     return _out(g.select("trial", "trade_count", "total_pnl_r", "max_drawdown_r", "utility_score"))
 
 
