@@ -2,13 +2,13 @@
 
 Bars are cut into blocks by their running number.  Rolling indicators see the
 last bars of the previous block (a halo); recursive ones (exponential and
-Wilder averages) are linear recurrences, folded per block and joined through
-the small table of block ends.
+Wilder averages) are affine recurrences, composed over stretches of bars.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,48 +52,40 @@ def rolling_indicators(bars: DataFrame, period: int = 14, block: int = BLOCK) ->
     return out.filter(~F.col("halo")).select("symbol", "session_date", "sod", "bar_no", "atr", "stddev", "mfi", "choppiness_index")
 
 
+#: Largest weight of a row inside a stretch of a recurrence, and the share of an old value that counts as gone.
+WEIGHT, GONE = 1e8, 1e-20
+
+
 def recurrences(numbered: DataFrame, inputs: dict[str, tuple[str, float]], block: int = BLOCK) -> DataFrame:
     """y[t] = a x[t] + (1 - a) y[t-1] per symbol, seeded with the first input.
 
-    ``inputs``: {name: (column, a)}.  Each block is folded from zero, block
-    ends are chained over the small block table, and each row adds the decayed
-    carry.
+    ``inputs``: {name: (column, a)}.  Inside a stretch of bars y is a weighted
+    running sum; a stretch as a whole maps the value before it to the value
+    behind it by one pair (decay, sum).  The pairs of the stretches before it,
+    as far back as their decay leaves anything of them, give a row's carry.
+    ``block`` is the number of stretches one window sees.
     """
-    names = list(inputs)
-    rows = numbered.select(
-        "symbol", "bar_no", F.floor(F.col("bar_no") / block).alias("block"), *[F.col(c).alias(n) for n, (c, _) in inputs.items()]
-    )
-    alphas = {n: a for n, (_, a) in inputs.items()}
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_no")
-        first = pdf["bar_no"].iloc[0] == 1
-        out = pdf[["symbol", "bar_no", "block"]].copy()
-        for n, a in alphas.items():
-            x, y, acc = pdf[n].to_numpy(), [], 0.0
-            for i, v in enumerate(x):
-                acc = v if (first and i == 0) else a * v + (1 - a) * acc
-                y.append(acc)
-            out[n] = y
-        out["step"] = range(1, len(out) + 1)
-        return out
-
-    loc = rows.groupBy("symbol", "block").applyInPandas(
-        local, "symbol string, bar_no bigint, block bigint, " + ", ".join(f"{n} double" for n in names) + ", step int"
-    )
-    ends = loc.groupBy("symbol", "block").agg(F.max("step").alias("len"), *[F.max_by(n, "bar_no").alias(n) for n in names])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        carry, out = {n: 0.0 for n in names}, []
-        for r in pdf.itertuples():
-            out.append((r.symbol, r.block, *[carry[n] for n in names]))
-            carry = {n: getattr(r, n) + (1 - alphas[n]) ** r.len * carry[n] for n in names}
-        return pd.DataFrame(out, columns=["symbol", "block", *[f"c_{n}" for n in names]])
-
-    carried = ends.groupBy("symbol").applyInPandas(chain, "symbol string, block bigint, " + ", ".join(f"c_{n} double" for n in names))
-    j = loc.join(carried, ["symbol", "block"])
-    return j.select("symbol", "bar_no", *[(F.col(n) + F.pow(F.lit(1 - alphas[n]), F.col("step")) * F.col(f"c_{n}")).alias(n) for n in names])
+    decays = {n: 1 - a for n, (_, a) in inputs.items()}
+    slow = [d for d in decays.values() if 0 < d < 1]
+    width = max(1, min([64] + [int(math.log(WEIGHT) / -math.log(d)) for d in slow]))
+    reach = max([1] + [math.ceil(math.log(GONE) / (width * math.log(d))) for d in slow])
+    at = F.col("bar_no") - 1
+    rows = numbered.select("symbol", "bar_no", F.floor(at / width).alias("stretch"), (F.pmod(at, F.lit(width)) + 1).alias("step"), *[F.col(c).alias(f"x_{n}") for n, (c, _) in inputs.items()])
+    so_far = W.partitionBy("symbol", "stretch").orderBy("bar_no").rowsBetween(W.unboundedPreceding, 0)
+
+    def local(n: str):
+        a, d = inputs[n][1], decays[n]
+        term = F.when(F.col("bar_no") == 1, F.col(f"x_{n}")).otherwise(a * F.col(f"x_{n}"))
+        return term if d == 0 else F.sum(term * F.pow(F.lit(d), -F.col("step"))).over(so_far) * F.pow(F.lit(d), F.col("step"))
+
+    loc = rows.select("symbol", "bar_no", "stretch", "step", *[local(n).alias(n) for n in inputs])
+    ends = loc.groupBy("symbol", "stretch").agg(*[F.max_by(n, "step").alias(n) for n in inputs])
+    near = with_halo(ends.withColumn("bar_no", F.col("stretch")), min(reach, block), block)
+    before = W.partitionBy("symbol", "block").orderBy("bar_no").rowsBetween(-reach, -1)
+    folded = lambda n: F.aggregate(F.collect_list(n).over(before), F.lit(0.0), lambda y, v: y * decays[n] ** width + v)
+    carried = near.withColumns({f"c_{n}": folded(n) for n in inputs}).filter(~F.col("halo")).select("symbol", "stretch", *[f"c_{n}" for n in inputs])
+    j = loc.join(carried, ["symbol", "stretch"])
+    return j.select("symbol", "bar_no", *[(F.col(n) + F.pow(F.lit(d), F.col("step")) * F.col(f"c_{n}")).alias(n) for n, d in decays.items()])
 
 
 def recursive_indicators(bars: DataFrame, *, rsi: int = 14, ema: int = 20, block: int = BLOCK) -> DataFrame:
@@ -111,9 +103,9 @@ def recursive_indicators(bars: DataFrame, *, rsi: int = 14, ema: int = 20, block
     )
 
 
-def indicators(bars: DataFrame) -> DataFrame:
+def indicators(bars: DataFrame, block: int = BLOCK) -> DataFrame:
     """All six indicators per bar."""
-    return rolling_indicators(bars).join(recursive_indicators(bars).drop("session_date", "sod"), ["symbol", "bar_no"])
+    return rolling_indicators(bars, block=block).join(recursive_indicators(bars, block=block).drop("session_date", "sod"), ["symbol", "bar_no"])
 
 
 def snapshot(cands: DataFrame, ind: DataFrame, cols: list[str]) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from barloom.functions.columns import ladder
 from barloom.schemas import SESSION_KEY
+from barloom.session import cut
 
 # fixed values: words of the hand labels
 YES_WORDS = ["", "yes", "y", "true", "valid"]
@@ -92,34 +92,29 @@ def match_examples(manual: DataFrame, cands: DataFrame, *, by: list[str] | None
 
     ``manual``: example_id, t (seconds), ``by`` columns; ``cands``: candidate_id,
     t, ``by`` columns.  Only pairs within the tolerance can match, so they come
-    from an equi-join on time buckets.  Stretches of trades further apart than
-    twice the tolerance share no candidate and are matched independently.
+    from an equi-join on time buckets.
+
+    The ordered scan is settled in rounds.  Every trade names the nearest
+    candidate it may still have, and a candidate goes to the earliest trade that
+    names it; what the candidate might have been to later trades is struck out,
+    as an earlier claim is never given up to them.  When no two trades name the
+    same candidate, the pairs are those of the scan.
     """
     by = by or ["session_date", "direction"]
     cell = lambda c: F.floor(F.col(c) / tolerance)
-    gap = F.col("t") - F.lag("t").over(W.partitionBy(*by).orderBy("t", "example_id"))
-    m = manual.withColumn(
-        "island", F.sum(F.when(gap <= 2 * tolerance, 0).otherwise(1)).over(W.partitionBy(*by).orderBy("t", "example_id"))
-    )
-    near = m.withColumn("cell", F.explode(F.array(*[cell("t") + i for i in (-1, 0, 1)])))
+    near = manual.select(*by, "example_id", F.col("t").alias("mt"), F.explode(F.array(*[cell("t") + i for i in (-1, 0, 1)])).alias("cell"))
     pairs = (
-        near.withColumnRenamed("t", "mt")
-        .join(cands.select(*by, "candidate_id", F.col("t").alias("ct"), cell("t").alias("cell")), [*by, "cell"])
+        near.join(cands.select(*by, "candidate_id", F.col("t").alias("ct"), cell("t").alias("cell")), [*by, "cell"])
         .withColumn("delta_seconds", F.abs(F.col("mt") - F.col("ct")).cast("double"))
         .filter(F.col("delta_seconds") <= tolerance)
+        .select(*by, "example_id", "mt", "candidate_id", "delta_seconds")
     )
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, g in pdf.sort_values(["mt", "example_id", "delta_seconds", "candidate_id"]).groupby(["mt", "example_id"], sort=True):
-            for r in g.itertuples():
-                if r.candidate_id not in used:
-                    used.add(r.candidate_id)
-                    out.append((r.example_id, r.candidate_id, r.delta_seconds))
-                    break
-        return pd.DataFrame(out, columns=["example_id", "candidate_id", "delta_seconds"])
-
-    kind = manual.schema["example_id"].dataType.simpleString()
-    return pairs.select(*by, "island", "example_id", "mt", "candidate_id", "delta_seconds").groupBy(*by, "island").applyInPandas(
-        greedy, f"example_id {kind}, candidate_id string, delta_seconds double"
-    )
+    while True:
+        pairs = cut(pairs)
+        named = pairs.groupBy(*by, "mt", "example_id").agg(F.min(F.struct("delta_seconds", "candidate_id")).alias("p"))
+        holders = named.groupBy(*by, F.col("p.candidate_id").alias("candidate_id")).agg(F.min(F.struct("mt", "example_id")).alias("h"), F.count(F.lit(1)).alias("n"))
+        holders = cut(holders)
+        if holders.filter("n > 1").isEmpty():
+            return named.select("example_id", "p.candidate_id", "p.delta_seconds")
+        mine = F.struct("mt", "example_id")
+        pairs = pairs.join(holders.drop("n"), [*by, "candidate_id"], "left").filter(F.col("h").isNull() | (mine <= F.col("h"))).drop("h")

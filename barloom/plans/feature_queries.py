@@ -12,7 +12,7 @@ from barloom.operators import labels as L
 from barloom.operators import matching as M
 from barloom.operators.calibration import feature_validation
 from barloom.operators.diagnostics import structure_families
-from barloom.operators.indicators import recursive_indicators, rolling_indicators, snapshot
+from barloom.operators.indicators import indicators, recursive_indicators, rolling_indicators, snapshot
 from barloom.plans import oracle_sql as O
 from barloom.plans.registry import query
 from barloom.plans.study_queries import _cands, _out
@@ -194,52 +194,54 @@ def feature_validation_candidates(spark, d):
 # --------------------------------------------------------------- indicators
 
 
+_ROLL = """x AS (SELECT *, (high + low + close) / 3 AS tp, lag((high + low + close) / 3) OVER w AS ptp, lag(close) OVER w AS pc FROM nb WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
+    y AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, count(*) OVER v AS n, stddev_samp(close) OVER v AS sd, sum(CASE WHEN tp > ptp THEN tp * volume ELSE 0 END) OVER v AS up, sum(CASE WHEN tp < ptp THEN tp * volume ELSE 0 END) OVER v AS dn, max(high) OVER v - min(low) OVER v AS span FROM x WINDOW v AS (PARTITION BY symbol ORDER BY bar_no ROWS 13 PRECEDING)),
+    z AS (SELECT *, avg(tr) OVER v AS atr, sum(tr) OVER v AS str FROM y WINDOW v AS (PARTITION BY symbol ORDER BY bar_no ROWS 13 PRECEDING)),
+    ro AS (SELECT symbol, session_date, sod, bar_no, CASE WHEN n = 14 THEN atr END AS atr, CASE WHEN n = 14 THEN sd END AS stddev, CASE WHEN n = 14 THEN CASE WHEN up + dn > 0 THEN 100 * up / (up + dn) ELSE 50 END END AS mfi, CASE WHEN n = 14 AND span > 0 THEN 100 * log10(str / span) / log10(14) END AS choppiness_index FROM z)"""
+_RECUR = """xr AS (SELECT symbol, session_date, sod, bar_no, close, greatest(coalesce(close - lag(close) OVER w, 0), 0) AS g0, greatest(-coalesce(close - lag(close) OVER w, 0), 0) AS l0 FROM nb WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
+    r AS (SELECT symbol, bar_no, close AS ema, g0 AS g, l0 AS l FROM xr WHERE bar_no = 1 UNION ALL SELECT x.symbol, x.bar_no, 2.0 / 21 * x.close + (1 - 2.0 / 21) * r.ema, x.g0 / 14 + r.g * 13 / 14, x.l0 / 14 + r.l * 13 / 14 FROM r JOIN xr x ON x.symbol = r.symbol AND x.bar_no = r.bar_no + 1),
+    rc AS (SELECT symbol, session_date, sod, bar_no, ema, CASE WHEN g + l > 0 THEN 100 * g / (g + l) ELSE 50 END AS rsi FROM r JOIN xr USING (symbol, bar_no))"""
+_SIX = ["atr", "stddev", "mfi", "choppiness_index", "ema", "rsi"]
+
+
 @query(
     "indicator_rolling",
-    f"""WITH {O.BARS}, {O.NUMBERED}, x AS (SELECT *, (high + low + close) / 3 AS tp, lag((high + low + close) / 3) OVER w AS ptp, lag(close) OVER w AS pc FROM nb WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
-    y AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, count(*) OVER v AS n, stddev_samp(close) OVER v AS sd, sum(CASE WHEN tp > ptp THEN tp * volume ELSE 0 END) OVER v AS up, sum(CASE WHEN tp < ptp THEN tp * volume ELSE 0 END) OVER v AS dn, max(high) OVER v - min(low) OVER v AS span FROM x WINDOW v AS (PARTITION BY symbol ORDER BY bar_no ROWS 13 PRECEDING)),
-    z AS (SELECT *, avg(tr) OVER v AS atr, sum(tr) OVER v AS str FROM y WINDOW v AS (PARTITION BY symbol ORDER BY bar_no ROWS 13 PRECEDING))
-    SELECT symbol, {'CAST(session_date AS VARCHAR) AS session_date'}, sod, bar_no, round(CASE WHEN n = 14 THEN atr END, 6) + 0.0 AS atr, round(CASE WHEN n = 14 THEN sd END, 6) + 0.0 AS stddev, round(CASE WHEN n = 14 THEN CASE WHEN up + dn > 0 THEN 100 * up / (up + dn) ELSE 50 END END, 6) + 0.0 AS mfi, round(CASE WHEN n = 14 AND span > 0 THEN 100 * log10(str / span) / log10(14) END, 6) + 0.0 AS choppiness_index FROM z""",
+    f"WITH {O.BARS}, {O.NUMBERED}, {_ROLL} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, sod, bar_no, {', '.join(O.r6(c) for c in _SIX[:4])} FROM ro",
 )
 def indicator_rolling(spark, d):
     """Rolling indicators over each symbol's whole history, in blocks with a halo."""
     return _out(rolling_indicators(study_bars(spark, d), block=512))
 
 
-@query(
-    "indicator_recursive",
-    f"""WITH RECURSIVE {O.BARS}, {O.NUMBERED}, x AS (SELECT symbol, session_date, sod, bar_no, close, greatest(coalesce(close - lag(close) OVER w, 0), 0) AS g0, greatest(-coalesce(close - lag(close) OVER w, 0), 0) AS l0 FROM nb WINDOW w AS (PARTITION BY symbol ORDER BY bar_no)),
-    r AS (SELECT symbol, bar_no, close AS ema, g0 AS g, l0 AS l FROM x WHERE bar_no = 1 UNION ALL SELECT x.symbol, x.bar_no, 2.0 / 21 * x.close + (1 - 2.0 / 21) * r.ema, x.g0 / 14 + r.g * 13 / 14, x.l0 / 14 + r.l * 13 / 14 FROM r JOIN x ON x.symbol = r.symbol AND x.bar_no = r.bar_no + 1)
-    SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, sod, bar_no, {O.r6('ema')}, round(CASE WHEN g + l > 0 THEN 100 * g / (g + l) ELSE 50 END, 6) + 0.0 AS rsi FROM r JOIN x USING (symbol, bar_no)""",
-)
+@query("indicator_recursive", f"WITH RECURSIVE {O.BARS}, {O.NUMBERED}, {_RECUR} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, sod, bar_no, {O.r6('ema')}, {O.r6('rsi')} FROM rc")
 def indicator_recursive(spark, d):
-    """Exponential average and Wilder strength as chained block recurrences."""
+    """Exponential average and Wilder strength as composed affine maps."""
     return _out(recursive_indicators(study_bars(spark, d), block=512))
 
 
 @query(
     "indicator_snapshot",
-    f"""{_BASE}, {O.NUMBERED}, y AS (SELECT symbol, session_date, sod, bar_no, stddev_samp(close) OVER v AS sd, count(*) OVER v AS n FROM nb WINDOW v AS (PARTITION BY symbol ORDER BY bar_no ROWS 13 PRECEDING)),
+    f"""{_BASE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {O.NUMBERED}, {_ROLL}, {_RECUR},
     k AS (SELECT c.candidate_id, c.symbol, (SELECT max(bar_no) FROM nb WHERE nb.symbol = c.symbol AND (nb.session_date < c.session_date OR (nb.session_date = c.session_date AND nb.sod < c.decision_sod))) AS bar_no FROM ucands c)
-    SELECT candidate_id, round(CASE WHEN n = 14 THEN sd END, 6) + 0.0 AS eng_stddev FROM k LEFT JOIN y USING (symbol, bar_no)""",
+    SELECT candidate_id, {', '.join(O.r6(c, 'eng_' + c) for c in _SIX)} FROM k LEFT JOIN ro USING (symbol, bar_no) LEFT JOIN rc USING (symbol, bar_no)""",
 )
 def indicator_snapshot(spark, d):
-    """Last indicator strictly before each cutoff."""
+    """All six indicators of the last bar strictly before each cutoff."""
     b = study_bars(spark, d)
-    return _out(snapshot(_cands(spark, d), rolling_indicators(b, block=512), ["stddev"]).select("candidate_id", "eng_stddev"))
+    return _out(snapshot(_cands(spark, d), indicators(b, block=512), _SIX).select("candidate_id", *[f"eng_{c}" for c in _SIX]))
 
 
 # --------------------------------------------------------- trade alignment
 
-_MAN = "mt AS (SELECT event_id AS example_id, event_type AS symbol, CAST(ts AS DATE) AS session_date, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INT) AS sod, value FROM events WHERE value >= 150)"
+_MAN = "mt AS (SELECT event_id AS example_id, event_type AS symbol, CAST(ts AS DATE) AS session_date, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INT) AS sod, value FROM events)"
 
 
 def _examples(spark, d):
-    """Large ticks as hand-marked trades."""
+    """Ticks as hand-marked trades."""
     from barloom.plans.tables import ticks
     from barloom.sources.bars import with_session_keys
 
-    t = with_session_keys(ticks(spark, d)).filter(F.col("value") >= 150)
+    t = with_session_keys(ticks(spark, d))
     return t.select(F.col("event_id").alias("example_id"), F.col("event_type").alias("symbol"), "session_date", "sod", "value")
 
 
