@@ -289,9 +289,12 @@ def replay_decision(rows: DataFrame, baseline: DataFrame) -> DataFrame:
     ).drop("b_pbo", "b_dd")
 
 
-def structure_gates(rows: DataFrame, baseline: DataFrame, *, expected_trades: int) -> DataFrame:
-    """The replay gates of the structure / partial batch, one column each."""
-    b = baseline.select(F.col("max_drawdown_r").alias("b_dd"), F.col("right_tail_p90_r").alias("b_tail"))
+def structure_gates(rows: DataFrame, baseline: DataFrame, *, expected_trades: int | None = None) -> DataFrame:
+    """The replay gates of the structure / partial batch, one column each.
+
+    A policy has to take as many trades as expected, those of the baseline if not told.
+    """
+    b = baseline.select(F.col("max_drawdown_r").alias("b_dd"), F.col("right_tail_p90_r").alias("b_tail"), F.col("trade_count").alias("b_trades"))
     return rows.crossJoin(F.broadcast(b)).select(
         "policy",
         (F.col("max_drawdown_r") > F.col("b_dd")).alias("lower_drawdown"),
@@ -299,7 +302,7 @@ def structure_gates(rows: DataFrame, baseline: DataFrame, *, expected_trades: in
         (F.coalesce("pbo", F.lit(1.0)) <= 0.25).alias("cpcv_pbo_lte_0_25"),
         (F.coalesce("min_path_pnl_r", F.lit(0.0)) > -5.0).alias("worst_path_gt_minus_5r"),
         (F.col("dsr_status") == "pass").alias("dsr_psr_pass"),
-        (F.col("trade_count") == expected_trades).alias("trade_count_as_expected"),
+        (F.col("trade_count") == (F.col("b_trades") if expected_trades is None else F.lit(expected_trades))).alias("trade_count_as_expected"),
     )
 
 

@@ -264,13 +264,57 @@ def apply_gates(rows: DataFrame, gates: DataFrame | None = None) -> DataFrame:
     )
 
 
-def gate_leakage(gated: DataFrame) -> DataFrame:
-    """Variants that are not point-in-time valid; path ids are never a filter."""
-    per = gated.groupBy("variant").agg(F.bool_and("pit_valid").alias("point_in_time_valid"))
-    return per.select(
-        "variant", "point_in_time_valid", F.lit(False).alias("uses_path_id_as_filter"),
-        F.when(F.col("point_in_time_valid"), "pass").otherwise("fail").alias("status"),
-    )
+# fixed values: columns that each follow-through gate reads
+_TEMPO = ["recent_directional_efficiency", "impulse_speed_score", "alternating_bar_ratio", "wick_rejection_ratio_recent"]
+_BREAKOUT = ["first_break_close_confirmed", "break_efficiency_ratio", "break_close_distance_to_zone", "first_break_wick_only"]
+_LIQUID = ["distance_to_recent_high_low", "wick_rejection_ratio_recent"]
+GATE_COLUMNS = {
+    "baseline": [],
+    "exclude_weak": [],
+    "tempo_persistence": _TEMPO,
+    "breakout_quality": _BREAKOUT,
+    "delayed_followthrough": ["continuation_displacement_ratio", "post_reclaim_close_strength"],
+    "liquidity_veto": _LIQUID,
+    "combined_conservative": [*_TEMPO, *_BREAKOUT, *_LIQUID],
+}
+
+
+def gate_leakage(gated: DataFrame, audit: DataFrame, by: list[str] | None = None, columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """Per variant and ``by``: rows kept, those of them whose features are not from before the entry, status.
+
+    ``audit`` has ``candidate_id`` and ``status``; a kept row without an audit
+    counts as failed.  A gate that reads a path id or an outcome fails whatever
+    its rows say.
+    """
+    columns = columns or GATE_COLUMNS
+    reads = {g: "path_id" in c for g, c in columns.items()}
+    betrays = {g: bool(forbidden_features(c)) for g, c in columns.items()}
+    known = lambda flags: ladder([(F.col("gate") == g, F.lit(f)) for g, f in flags.items()], F.lit(False))
+    j = gated.filter(F.col("policy_weight") > 0).join(audit.select("candidate_id", F.col("status").alias("__s")), "candidate_id", "left")
+    kept = j.groupBy("variant", *(by or [])).agg(F.count(F.lit(1)).alias("kept_rows"), F.count(F.when(F.coalesce("__s", F.lit("fail")) != "pass", 1)).alias("late_rows"))
+    every = gated.groupBy("variant", "gate", *(by or [])).agg(F.count(F.lit(1)).alias("rows"))
+    out = every.join(kept, ["variant", *(by or [])], "left").fillna(0, ["kept_rows", "late_rows"])
+    out = out.withColumns({"uses_path_id_as_filter": known(reads), "__o": known(betrays)})
+    ok = (F.col("late_rows") == 0) & ~F.col("uses_path_id_as_filter") & ~F.col("__o")
+    return out.select("variant", *(by or []), "kept_rows", "late_rows", (F.col("late_rows") == 0).alias("point_in_time_valid"), "uses_path_id_as_filter",
+                      F.when(ok, "pass").otherwise("fail").alias("status"))
+
+
+def entry_audit(rows: DataFrame, used: str = "feature_time", entry: str = "entry_time") -> DataFrame:
+    """``(candidate_id, status)``: fails where the latest bar behind the features is not before the entry."""
+    return rows.select("candidate_id", F.when(F.col(used) < F.col(entry), "pass").otherwise("fail").alias("status"))
+
+
+def worst_path(path_rows: DataFrame) -> str | None:
+    """Path with the least total, ties to the least id: one row of a few."""
+    worst = path_rows.groupBy("path_id").agg(F.sum("executed_pnl_r").alias("t")).orderBy("t", "path_id").first()
+    return worst["path_id"] if worst else None
+
+
+def state_weights(rows: DataFrame, policies=None) -> DataFrame:
+    """``(variant, candidate_id, policy_weight, fill_impact_r)`` of state-weight policies."""
+    t = state_policy_table(rows.sparkSession, policies or TRIAL_POLICIES)
+    return rows.select("candidate_id", "market_state").join(F.broadcast(t), "market_state").select("variant", "candidate_id", "policy_weight", F.lit(0.0).alias("fill_impact_r"))
 
 
 def policy_simulation(rows: DataFrame, policies: DataFrame | None = None) -> DataFrame:
@@ -370,21 +414,24 @@ def support_sufficiency(rows: DataFrame, min_rows: int = 30, min_class: int = 5)
     )
 
 
-def reliability_warnings(rows: DataFrame, minimum: int = 25) -> DataFrame:
-    """States of the domain with too few rows; empty states appear with 0."""
-    domain = rows.sparkSession.createDataFrame([(s,) for s in MARKET_STATES], "state string")
-    n = rows.groupBy(F.col("market_state").alias("state")).agg(F.count(F.lit(1)).alias("count"))
-    return domain.join(n, "state", "left").select(
-        "state", F.coalesce("count", F.lit(0)).alias("count"), F.lit("state_has_fewer_than_25_rows").alias("warning")
+def reliability_warnings(rows: DataFrame, minimum: int = 25, by: list[str] | None = None) -> DataFrame:
+    """States of the domain with too few rows, in every group of ``by``; empty states appear with 0."""
+    by = by or []
+    states = F.explode(F.array(*[F.lit(s) for s in MARKET_STATES])).alias("state")
+    domain = rows.select(*by).distinct().select(*by, states) if by else rows.sparkSession.range(1).select(states)
+    n = rows.groupBy(*by, F.col("market_state").alias("state")).agg(F.count(F.lit(1)).alias("count"))
+    return domain.join(n, [*by, "state"], "left").select(
+        *by, "state", F.coalesce("count", F.lit(0)).alias("count"), F.lit(f"state_has_fewer_than_{minimum}_rows").alias("warning")
     ).filter(F.col("count") < minimum)
 
 
-def missingness(rows: DataFrame) -> DataFrame:
+def missingness(rows: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Mean null rate per feature group; groups without columns count as missing."""
-    cols = [x for xs in FEATURE_GROUPS.values() for x in xs if x in rows.columns]
+    groups = groups or FEATURE_GROUPS
+    cols = [x for xs in groups.values() for x in xs if x in rows.columns]
     rates = rows.agg(*[F.avg(F.when(F.col(x).isNull() | F.isnan(F.col(x)), 1.0).otherwise(0.0)).alias(x) for x in cols])
     member = rows.sparkSession.createDataFrame(
-        [(g, x) for g, xs in FEATURE_GROUPS.items() for x in xs], "feature_group string, feature string"
+        [(g, x) for g, xs in groups.items() for x in xs], "feature_group string, feature string"
     )
     long = rates.unpivot([], cols, "feature", "rate")
     g = member.join(F.broadcast(long), "feature", "left").groupBy("feature_group").agg(
@@ -400,12 +447,12 @@ def forbidden_features(columns: list[str]) -> list[str]:
     return [c for c in columns if any(t in c.lower() for t in FORBIDDEN_TOKENS)]
 
 
-def leakage_audit(audit: DataFrame, columns: list[str]) -> DataFrame:
-    """Name check plus failed feature audits, as one row."""
+def leakage_audit(audit: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """Name check plus failed feature audits, as one row per ``by``."""
     bad = forbidden_features(columns)
-    g = audit.agg(F.count(F.when(F.col("status") != "pass", 1)).alias("failed_audits"))
+    g = audit.groupBy(*(by or [])).agg(F.count(F.when(F.col("status") != "pass", 1)).alias("failed_audits"))
     return g.select(
-        F.lit(len(bad)).alias("forbidden_names"), "failed_audits",
+        *(by or []), F.lit(len(bad)).alias("forbidden_names"), "failed_audits",
         F.when((F.lit(len(bad)) == 0) & (F.col("failed_audits") == 0), "pass").otherwise("fail").alias("status"),
     )
 

@@ -15,10 +15,10 @@ from barloom.operators import models as ML
 from barloom.operators import sharpe as SH
 from barloom.operators import splits as S
 from barloom.operators import trials as T
-from barloom.operators.features import numeric_feature_columns
+from barloom.operators.features import feature_audit, numeric_feature_columns
 from barloom.plans import oracle_sql as O
-from barloom.plans.evaluation_queries import _CP, FEATURES, W0, _out, _pairs
-from barloom.plans.feature_queries import _labelled, _replay
+from barloom.plans.evaluation_queries import _CP, FEATURES, W0, _out, _pairs, _timed, _walk
+from barloom.plans.feature_queries import _entries, _labelled, _replay
 from barloom.plans.registry import query
 from barloom.plans.tables import STUDY, path_rows, setups, study_bars, thresholds
 from barloom.plans.trade_queries import REC, book
@@ -78,7 +78,9 @@ def _cycle(spark, d):
     paths = test.join(r.select("policy", "candidate_id", "pnl_r"), "candidate_id").groupBy("policy", "path_id").agg(F.sum("pnl_r").alias("total_pnl_r"))
     roll = S.path_rollup(paths, ["policy"], upper_median=False).withColumnRenamed("status", "cpcv_status")
     dsr = SH.attach_dsr(SH.sharpe_table(r, ["policy"], "pnl_r"), n_trials=len(E.POLICIES))
-    return cut(E.evaluate_policies(r).join(roll, "policy").join(dsr, "policy").withColumn("point_in_time", F.lit(True)))
+    # replayed entries whose features reach into the decision
+    late = feature_audit(study_bars(spark, d), _entries(spark, d), STUDY).agg((F.count(F.when(F.col("status") != "pass", 1)) == 0).alias("point_in_time"))
+    return cut(E.evaluate_policies(r).join(roll, "policy").join(dsr, "policy").crossJoin(F.broadcast(late)))
 
 
 @query("exit_cycle")
@@ -86,7 +88,7 @@ def exit_cycle(spark, d):
     """All exit policies evaluated, replayed on paths, gated and ranked."""
     rows = _cycle(spark, d)
     base = rows.filter("policy = 'fixed_1_5r_tp_sl_baseline'")
-    out = E.replay_decision(E.exit_gates(rows), base).join(E.structure_gates(rows, base, expected_trades=212), "policy")
+    out = E.replay_decision(E.exit_gates(rows), base).join(E.structure_gates(rows, base), "policy")
     order = [(F.col("decision") == "advance_candidate").desc(), F.col("mean_total_pnl_r").desc(), F.col("total_pnl_r").desc(), F.col("policy")]
     return _out(T.rank_trials(out.withColumn("exit_family", E.variant_family()), order).select(
         "rank", "policy", "exit_family", "trade_count", "total_pnl_r", "mean_total_pnl_r", "pbo", "dsr_probability", "decision", "governance_decision",
@@ -108,20 +110,23 @@ def validation_v1_gates(spark, d):
     gated = cut(MS.apply_gates(s, MS.followthrough_table(spark).filter("gate = 'breakout_quality'")).filter("policy_weight > 0").drop("variant", "gate"))
     sig = B.sized_signals(gated, threshold=0.45).withColumn("run", F.lit("v1"))
     ex, summary = B.run_backtest(sig, ["run"])
-    paths = path_rows(s).join(gated.select("candidate_id"), "candidate_id", "left_semi").groupBy("path_id").agg(F.sum("executed_pnl_r").alias("total_pnl_r"))
-    roll = S.path_rollup(cut(paths)).withColumnRenamed("status", "cpcv_status").select("cpcv_status", "min_path_pnl_r")
-    dsr = SH.attach_dsr(SH.sharpe_table(ex, ["run"], "executed_pnl_r"), n_trials=11).select("dsr_status")
+    paths = S.cpcv_paths(spark, 8)
+    tested = CV.tested(S.cpcv_spans(gated, paths, 8, embargo_bars=2), sorted(r["path_id"] for r in paths.collect()))
+    roll = S.path_rollup(cut(CV.path_backtests(cut(CV.diverse(tested)))[1])).withColumnRenamed("status", "cpcv_status").select("cpcv_status", "min_path_pnl_r")
+    dsr = SH.attach_dsr(SH.sharpe_table(ex, ["run"], "executed_pnl_r"), n_trials=len(MS.FOLLOWTHROUGH) + len(MS.TRIAL_POLICIES)).select("dsr_status")
     best = B.best_threshold(B.translation_grid(gated, thresholds(spark))).select(F.col("status").alias("translation_status"))
-    row = summary.crossJoin(roll).crossJoin(dsr).crossJoin(best).withColumns({"walk_forward_status": F.lit("pass"), "leakage_status": F.lit("pass")})
+    walk = ML.walk_forward_check(_walk(spark, d)).select(F.col("status").alias("walk_forward_status"))
+    leaks = MS.leakage_audit(MS.entry_audit(_timed(spark, d)), FEATURES).select(F.col("status").alias("leakage_status"))
+    row = summary.crossJoin(roll).crossJoin(dsr).crossJoin(best).crossJoin(walk).crossJoin(leaks)
     out = row.select("trade_count", "total_pnl_r", "max_drawdown_r", *[v.alias(k) for k, v in T.v1_gates().items()])
     return _out(out)
 
 
 @query("model_holdout_gbm")
 def model_holdout_gbm(spark, d):
-    """Boosted trees on the time-ordered split (ten rounds here, 200 by default)."""
+    """Boosted trees on the time-ordered split."""
     s = cut(S.holdout_split(setups(spark, d)).drop("probability", "prediction"))
-    m = ML.fit_classifier(s.filter("role = 'train'"), FEATURES, "gbm", rounds=10)
+    m = ML.fit_classifier(s.filter("role = 'train'"), FEATURES, "gbm")
     return _out(ML.split_metrics(ML.score(m, s.filter("role = 'test'"), FEATURES)))
 
 

@@ -20,7 +20,7 @@ from barloom.operators.backtest import run_backtest, sized_signals, utility
 from barloom.operators.matching import normalize_examples
 from barloom.plans import oracle_sql as O
 from barloom.plans.registry import query
-from barloom.plans.tables import path_rows, setups, table
+from barloom.plans.tables import SETUP_FIELDS, path_rows, setups, table
 from barloom.session import cut
 
 W0 = f"WITH {O.SETUPS}"
@@ -327,19 +327,47 @@ def market_state_bounds(spark, d):
     return _out(exact_quantiles(unpivot_numeric(setups(spark, d), [], FEATURES), ["feature"], "value", {"lo": 0.05, "hi": 0.95}))
 
 
-@query("market_missingness", f"{W0}, r AS (SELECT * FROM (VALUES ('candle_speed_volatility', 1, 0), ('wick_body_structure', 1, 0), ('impulse_strength', 1, 0), ('flem_shape', 1, 0), ('pivot_shape', 1, 0), ('recent_highs_lows_context', 1, 0), ('day_structure', 1, 0), ('chop_range_unpredictability_avoidance', 1, 0), ('requested_pit_features', 0, 12)) v(feature_group, miss, n)) SELECT feature_group, CAST(n AS BIGINT) AS columns_present, CAST(miss AS DOUBLE) AS missing_rate, CASE WHEN n = 0 THEN 'missing' ELSE 'complete' END AS status FROM r WHERE (SELECT count(*) FROM setups WHERE impulse_speed_score IS NULL) = 0")
+#: Groups of record columns: whole, with gaps, half absent, absent.
+_GROUPS = {"speed": ["impulse_speed_score", "repair_speed_score"], "gaps": ["break_efficiency_ratio", "reclaim_close_location", "reg_vol_10"], "half": ["zone_width", "no_such_column"], "absent": ["msq_day_structure"]}
+_GAP_SQL = " UNION ALL ".join(
+    f"SELECT '{g}' AS feature_group, CAST({len(have)} AS BIGINT) AS columns_present, CAST({'1' if not have else '(' + ' + '.join(f'avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)' for c in have) + f') / {len(have)}'} AS DOUBLE) AS mr FROM setups"
+    for g, have in ((g, [c for c in cols if c not in ("no_such_column", "msq_day_structure")]) for g, cols in _GROUPS.items())
+)
+
+
+@query("market_missingness", f"{W0}, g AS ({_GAP_SQL}) SELECT feature_group, columns_present, {O.r6('mr', 'missing_rate')}, CASE WHEN columns_present = 0 THEN 'missing' WHEN mr <= 0.2 THEN 'complete' ELSE 'sparse' END AS status FROM g GROUP BY ALL")
 def market_missingness(spark, d):
-    """Null rate per feature group before the composites exist."""
-    return _out(MS.missingness(setups(spark, d)))
+    """Null rate per group of record columns, absent ones included."""
+    return _out(MS.missingness(setups(spark, d), _GROUPS))
 
 
-@query("market_leakage_audit", f"{W0} SELECT CAST(4 AS INT) AS forbidden_names, CAST(0 AS BIGINT) AS failed_audits, 'fail' AS status FROM (SELECT count(*) AS n FROM setups) WHERE n > 0")
-def market_leakage_audit(spark, d):
-    """Feature names that betray an outcome, over the columns of the records."""
+@query("market_missingness_composites")
+def market_missingness_composites(spark, d):
+    """Null rate per feature group once the composites exist."""
+    return _out(MS.missingness(cut(MS.market_features(setups(spark, d)))))
+
+
+def _timed(spark, d):
+    """Records with the time of the latest bar behind their features: as many bars before the entry as the reclaim took."""
     s = setups(spark, d)
-    names = ["pnl_r", "stop_price", "label", "outcome", "zone_width", "impulse_speed_score"]
-    audit = s.select("candidate_id", F.lit("pass").alias("status"))
-    return MS.leakage_audit(audit, names)
+    return s.withColumn("feature_time", F.col("entry_time") - F.make_dt_interval(secs=(F.col("reclaim_latency_bars") * 30).cast("decimal(18,6)")))
+
+
+_LATE = "reclaim_latency_bars < 1"
+_TOKENS = "regexp_matches(lower(c), '" + "|".join(MS.FORBIDDEN_TOKENS) + "')"
+_COLUMN_SETS = {"features": FEATURES, "records": list(SETUP_FIELDS)}
+
+
+@query("market_leakage_audit", f"{W0}, " + "f AS (" + " UNION ALL ".join(f"SELECT '{k}' AS columns, count(*) FILTER (WHERE {_TOKENS}) AS forbidden_names FROM (SELECT unnest({v}) AS c)" for k, v in _COLUMN_SETS.items())
+       + f"), a AS (SELECT setup_subtype, count(*) FILTER (WHERE {_LATE}) AS failed_audits FROM setups GROUP BY 1 UNION ALL SELECT 'timely', 0) SELECT columns, setup_subtype, CAST(forbidden_names AS INT) AS forbidden_names, failed_audits, CASE WHEN forbidden_names = 0 AND failed_audits = 0 THEN 'pass' ELSE 'fail' END AS status FROM f, a")
+def market_leakage_audit(spark, d):
+    """Names that betray an outcome and features that are not from before the entry, per subtype and for the timely rows alone."""
+    rows = _timed(spark, d)
+    timely = rows.filter("feature_time < entry_time").withColumn("setup_subtype", F.lit("timely"))
+    both = rows.unionByName(timely)
+    audit = both.select("setup_subtype", F.when(F.col("feature_time") < F.col("entry_time"), "pass").otherwise("fail").alias("status"))
+    parts = [MS.leakage_audit(audit, names, ["setup_subtype"]).withColumn("columns", F.lit(k)) for k, names in _COLUMN_SETS.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def _gate_case():
@@ -368,9 +396,11 @@ def market_followthrough_gates(spark, d):
     return _out(MS.gate_simulation(setups(spark, d)))
 
 
-@query("market_gate_leakage", f"{W0}, {_FT} SELECT variant, true AS point_in_time_valid, false AS uses_path_id_as_filter, 'pass' AS status FROM ft WHERE (SELECT count(*) FROM setups) > 0")
+@query("market_gate_leakage", f"{W0}, {_GT}, k AS (SELECT variant, market_state, count(*) FILTER (WHERE w > 0) AS kept_rows, count(*) FILTER (WHERE w > 0 AND {_LATE}) AS late_rows FROM gt GROUP BY 1, 2) SELECT variant, market_state, kept_rows, late_rows, late_rows = 0 AS point_in_time_valid, false AS uses_path_id_as_filter, CASE WHEN late_rows = 0 THEN 'pass' ELSE 'fail' END AS status FROM k")
 def market_gate_leakage(spark, d):
-    return MS.gate_leakage(MS.apply_gates(setups(spark, d)))
+    """Rows each gate keeps whose features are not from before the entry, per market state."""
+    rows = _timed(spark, d)
+    return MS.gate_leakage(MS.apply_gates(rows), MS.entry_audit(rows), ["market_state"])
 
 
 _SP = "sp AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{s}', {float(w.get(s, df))}e0)" for n, df, w in MS.STATE_POLICIES for s in MS.MARKET_STATES) + ") v(variant, market_state, w))"
@@ -409,11 +439,13 @@ def market_support(spark, d):
     return MS.support_sufficiency(setups(spark, d), min_rows=3000)
 
 
-@query("market_reliability_warnings", f"{W0}, dm AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in MS.MARKET_STATES) + ") v(state)) SELECT state, count(candidate_id) AS count, 'state_has_fewer_than_25_rows' AS warning FROM dm LEFT JOIN setups ON market_state = state AND setup_quality = 'high_quality' AND setup_subtype = 'weak_follow_through' GROUP BY 1 HAVING count(candidate_id) < 200")
+_SLICE = "setup_quality, setup_subtype"
+
+
+@query("market_reliability_warnings", f"{W0}, dm AS (SELECT * FROM (SELECT DISTINCT {_SLICE} FROM setups), (VALUES " + ", ".join(f"('{s}')" for s in MS.MARKET_STATES) + f") v(state)), n AS (SELECT {_SLICE}, market_state AS state, count(*) AS n FROM setups GROUP BY ALL) SELECT {_SLICE}, state, coalesce(n, 0) AS count, 'state_has_fewer_than_160_rows' AS warning FROM dm LEFT JOIN n USING ({_SLICE}, state) WHERE coalesce(n, 0) < 160")
 def market_reliability_warnings(spark, d):
-    """States with thin support in a narrow slice; empty states appear."""
-    s = setups(spark, d).filter("setup_quality = 'high_quality' AND setup_subtype = 'weak_follow_through'")
-    return MS.reliability_warnings(s, 200)
+    """States with thin support in every quality and subtype; empty states appear."""
+    return MS.reliability_warnings(setups(spark, d), 160, ["setup_quality", "setup_subtype"])
 
 
 _RP = f"{_FT}, rp AS (SELECT p.path_id, p.executed_pnl_r, variant, CASE WHEN {_gate_case()} THEN 1e0 ELSE 0e0 END AS w, CASE WHEN gate = 'delayed_followthrough' AND {_gate_case()} THEN -0.05e0 ELSE 0e0 END AS fi FROM path_rows p, ft), rg AS (SELECT variant, path_id, sum(executed_pnl_r) AS b, sum((executed_pnl_r + fi) * w) AS t, count(*) FILTER (WHERE w > 0) AS n, sum(w) AS e FROM rp GROUP BY 1, 2)"
@@ -446,52 +478,76 @@ def market_path_rollup(spark, d):
 _TOT = "tt AS (SELECT variant, sum((pnl_r + fi) * w) AS total_pnl_r FROM gt GROUP BY 1)"
 
 
-def _variant_table(spark, d):
-    s = cut(setups(spark, d))
-    tot = MS.gate_simulation(s).filter("market_state = 'all'").select("variant", "candidate_count", "trade_count", F.col("weighted_pnl_r").alias("total_pnl_r"))
-    w = MS.apply_gates(s).select("variant", "candidate_id", "policy_weight", "fill_impact_r")
+def _rolled(s, tot, w):
+    """Totals joined to the path roll-up and the Sharpe table of each variant."""
     paths = cut(MS.replay_on_paths(path_rows(s), w))
     roll = S.path_rollup(paths, ["variant"], upper_median=False)
-    sh = SH.attach_dsr(SH.sharpe_table(paths, ["variant"], "total_pnl_r"), n_trials=7)
-    return cut(tot.join(roll, "variant").join(sh, "variant"))
+    n = w.select("variant").distinct().count()  # configured policies
+    sh = SH.attach_dsr(SH.sharpe_table(paths, ["variant"], "total_pnl_r"), n_trials=n)
+    return cut(tot.filter("market_state = 'all'").select("variant", "candidate_count", "trade_count", F.col("weighted_pnl_r").alias("total_pnl_r")).join(roll, "variant").join(sh, "variant"))
 
 
-@query("trial_robust_rescore", f"{W0}, {_GT.replace('gt AS', 'gt AS')}, {_TOT}, rp AS (SELECT p.path_id, p.executed_pnl_r, variant, CASE WHEN {_gate_case()} THEN 1e0 ELSE 0e0 END AS w, CASE WHEN gate = 'delayed_followthrough' AND {_gate_case()} THEN -0.05e0 ELSE 0e0 END AS fi FROM path_rows p, ft), rg AS (SELECT variant, path_id, sum((executed_pnl_r + fi) * w) AS t FROM rp GROUP BY 1, 2), {_RR}, b AS (SELECT variant AS name, k.kind, total_pnl_r, pr, mn, total_pnl_r + mn + 5 * pr AS sc FROM tt JOIN rr USING (variant), (VALUES ('state_gate'), ('continuation_gate')) k(kind)) SELECT name, kind, {O.r6('total_pnl_r')}, {O.r6('pr', 'path_positive_rate')}, {O.r6('mn', 'min_path_pnl_r')}, {O.r6('sc', 'robust_score')} FROM b")
+def _variant_table(spark, d):
+    s = cut(setups(spark, d))
+    return _rolled(s, MS.gate_simulation(s), MS.apply_gates(s).select("variant", "candidate_id", "policy_weight", "fill_impact_r"))
+
+
+def _state_table(spark, d):
+    """The four market-state trial policies."""
+    s = cut(setups(spark, d))
+    return _rolled(s, MS.policy_simulation(s, MS.state_policy_table(spark, MS.TRIAL_POLICIES)), MS.state_weights(s))
+
+
+_TP = "tp AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{s}', {float(w.get(s, df))}e0)" for n, df, w in MS.TRIAL_POLICIES for s in MS.MARKET_STATES) + ") v(variant, market_state, w))"
+_TPR = f"""{_TP}, tps AS (SELECT variant, count(*) AS candidate_count, count(*) FILTER (WHERE w > 0) AS trade_count, sum(pnl_r * w) AS total_pnl_r FROM setups JOIN tp USING (market_state) GROUP BY 1),
+tpp AS (SELECT variant, path_id, sum(executed_pnl_r * w) AS t FROM path_rows JOIN tp USING (market_state) GROUP BY 1, 2),
+tpr AS (SELECT variant, count(*) AS n, avg(CASE WHEN t <= 0 THEN 1 ELSE 0 END) AS pbo, avg(t) AS mean_r, median(t) AS med, min(t) AS mn, avg(CASE WHEN t > 0 THEN 1 ELSE 0 END) AS pr FROM tpp GROUP BY 1)"""
+
+
+@query("trial_robust_rescore", f"{W0}, {_GT}, {_TOT}, rp AS (SELECT p.path_id, p.executed_pnl_r, variant, CASE WHEN {_gate_case()} THEN 1e0 ELSE 0e0 END AS w, CASE WHEN gate = 'delayed_followthrough' AND {_gate_case()} THEN -0.05e0 ELSE 0e0 END AS fi FROM path_rows p, ft), rg AS (SELECT variant, path_id, sum((executed_pnl_r + fi) * w) AS t FROM rp GROUP BY 1, 2), {_RR}, {_TPR}, b AS (SELECT variant AS name, 'continuation_gate' AS kind, total_pnl_r, pr, mn FROM tt JOIN rr USING (variant) UNION ALL SELECT variant, 'state_gate', total_pnl_r, pr, mn FROM tps JOIN tpr USING (variant)) SELECT name, kind, {O.r6('total_pnl_r')}, {O.r6('pr', 'path_positive_rate')}, {O.r6('mn', 'min_path_pnl_r')}, {O.r6('total_pnl_r + mn + 5 * pr', 'robust_score')} FROM b")
 def trial_robust_rescore(spark, d):
-    """Variants of two kinds by total, worst path and positive rate."""
-    v = _variant_table(spark, d)
-    return _out(T.robust_rescore(v, v).drop("rank"))
+    """State policies and follow-through gates by total, worst path and positive rate."""
+    return _out(T.robust_rescore(_state_table(spark, d), _variant_table(spark, d)).drop("rank"))
 
 
 @query("trial_ablation_pack")
 def trial_ablation_pack(spark, d):
-    v = _variant_table(spark, d)
-    return _out(T.ablation_pack(v, v))
+    """Best state policy and best gate, and how far their totals lie apart."""
+    return _out(T.ablation_pack(_state_table(spark, d), _variant_table(spark, d)))
+
+
+@query("trial_state_cycle", f"{W0}, {_TPR}, j AS (SELECT *, trade_count / candidate_count AS kept, CASE WHEN pbo <= 0.25 AND mean_r > 0 AND med > 0 AND mn > -5 THEN 'pass' ELSE 'fail' END AS status FROM tps JOIN tpr USING (variant)) SELECT variant, candidate_count, trade_count, {O.r6('kept', 'retained_fraction')}, {O.r6('total_pnl_r')}, {O.r6('mean_r', 'mean_total_pnl_r')}, {O.r6('mn', 'min_path_pnl_r')}, {O.r6('pr', 'path_positive_rate')}, status = 'pass' AS cpcv_pass, mn > -5 AS worst_path_above_threshold, mean_r > 0 AS mean_path_positive, med > 0 AS median_path_positive, pr >= (SELECT pr FROM j WHERE variant = 'baseline') AS positive_rate_holds, trade_count >= 350 AS trade_count_acceptable, kept >= 0.7 AS not_deleting_too_many_trades FROM j")
+def trial_state_cycle(spark, d):
+    """The market-state policies simulated, replayed on all paths and held against the strict gates."""
+    v = _state_table(spark, d)
+    out = T.state_trial_gates(v, v.filter("variant = 'baseline'").select("path_positive_rate"))
+    return _out(out.select("variant", "candidate_count", "trade_count", "retained_fraction", "total_pnl_r", "mean_total_pnl_r", "min_path_pnl_r", "path_positive_rate", "cpcv_pass", "worst_path_above_threshold",
+                           "mean_path_positive", "median_path_positive", "positive_rate_holds", "trade_count_acceptable", "not_deleting_too_many_trades"))
 
 
 @query("trial_state_gates")
 def trial_state_gates(spark, d):
-    """Strict gates of each market-state trial."""
-    v = _variant_table(spark, d)
+    """Decision of each market-state policy, Sharpe gates included."""
+    v = _state_table(spark, d)
     out = T.state_trial_gates(v, v.filter("variant = 'baseline'").select("path_positive_rate"))
     return out.select("variant", "decision", "cpcv_pass", "dsr_pass", "psr_pass", "worst_path_above_threshold", "trade_count_acceptable", "not_deleting_too_many_trades")
 
 
 # ----------------------------------------------------- residual diagnostics
 
-_RES = "sv AS (SELECT * FROM path_rows WHERE path_id = 'cpcv_003' AND market_state <> 'weak_or_grindy_continuation'), rs AS (SELECT * FROM sv WHERE executed_pnl_r < 0)"
+_RES = "sv AS (SELECT * FROM path_rows WHERE path_id = (SELECT path_id FROM path_rows GROUP BY 1 ORDER BY sum(executed_pnl_r), path_id LIMIT 1) AND market_state <> 'weak_or_grindy_continuation'), rs AS (SELECT * FROM sv WHERE executed_pnl_r < 0)"
 
 
 def _residual(spark, d):
     s = setups(spark, d)
-    return MS.residual_losses(path_rows(s), s, "cpcv_003")
+    return MS.residual_losses(path_rows(s), s, MS.worst_path(path_rows(s)))
 
 
 @query("residual_support", f"{W0}, {_RES} SELECT (SELECT count(*) FROM sv) AS surviving_trade_count, (SELECT CAST(count(DISTINCT session_date) AS BIGINT) FROM sv) AS surviving_session_count, {O.r6('(SELECT sum(executed_pnl_r) FROM sv)', 'surviving_total_pnl_r')}, count(*) AS loss_trade_count, CAST(count(DISTINCT session_date) AS BIGINT) AS loss_session_count, {O.r6('sum(executed_pnl_r)', 'loss_total_pnl_r')} FROM rs")
 def residual_support(spark, d):
     """Trades, sessions and losses that survive the weak-state exclusion."""
     s = setups(spark, d)
-    return _out(MS.residual_support(path_rows(s), s, "cpcv_003"))
+    return _out(MS.residual_support(path_rows(s), s, MS.worst_path(path_rows(s))))
 
 
 _CL = """cl AS (SELECT *, unnest([x for x in [CASE WHEN first_break_wick_only >= 0.5 OR first_break_close_confirmed < 0.5 OR break_close_distance_to_zone <= 0.15 OR continuation_displacement_ratio <= 0.25 OR opposite_boundary_close_violation > 0 THEN 'failed_breakout_no_followthrough' END,
@@ -516,7 +572,7 @@ def residual_explanations(spark, d):
 @query("residual_coherence", f"{W0}, {_RES}, {_CL}, c AS (SELECT cluster, count(*) AS n FROM cl GROUP BY 1), t AS (SELECT max(n) AS top, (SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC LIMIT 3)) AS top3, (SELECT count(*) FROM rs) AS losses FROM c) SELECT losses AS loss_trade_count, {O.r6('top / losses', 'top_cluster_share_of_loss_trades')}, {O.r6('top3 / losses', 'top_3_cluster_membership_per_loss_trade')}, CASE WHEN top / losses >= 0.5 OR top3 / losses >= 1.25 THEN 'structurally_coherent' WHEN top / losses >= 0.3 OR top3 / losses >= 0.8 THEN 'partly_structural' ELSE 'mostly_random_or_underexplained' END AS assessment FROM t")
 def residual_coherence(spark, d):
     s = setups(spark, d)
-    return _out(MS.structural_coherence(MS.residual_clusters(cut(_residual(spark, d))), MS.residual_support(path_rows(s), s, "cpcv_003")))
+    return _out(MS.structural_coherence(MS.residual_clusters(cut(_residual(spark, d))), MS.residual_support(path_rows(s), s, MS.worst_path(path_rows(s)))))
 
 
 @query("market_worst_path_exposure", f"{W0}, {_PT}, wp AS (SELECT path_id FROM pt ORDER BY total_pnl_r, path_id LIMIT 3), j AS (SELECT * FROM path_rows JOIN wp USING (path_id)) SELECT coalesce(path_id, 'all') AS path_id, coalesce(market_state, 'all') AS market_state, coalesce(setup_quality, 'all') AS setup_quality, count(*) AS trade_count, {O.r6('sum(executed_pnl_r)', 'total_pnl_r')}, {O.r6('avg(executed_pnl_r)', 'avg_trade_r')} FROM j GROUP BY GROUPING SETS ((path_id, market_state), (market_state), (setup_quality))")
@@ -640,10 +696,16 @@ def attribution_probability_bins(spark, d):
 _BIN = "CASE WHEN probability < 0.55 THEN '[0.45,0.55)' WHEN probability < 0.65 THEN '[0.55,0.65)' ELSE '[0.65,1.00]' END"
 
 
-@query("attribution_dominant_axes", f"{W0}, l AS (SELECT *, strftime(entry_time, '%H:%M') AS tb, {_BIN} AS pb FROM path_rows WHERE path_id = 'cpcv_002' AND executed_pnl_r < 0), u AS (SELECT 'subtype' AS axis, setup_subtype AS key, executed_pnl_r FROM l UNION ALL SELECT 'time_of_day', tb, executed_pnl_r FROM l UNION ALL SELECT 'volatility_regime', CASE WHEN reg_high_vol_state <> 0 THEN 'on' ELSE 'off' END, executed_pnl_r FROM l UNION ALL SELECT 'trend_regime', CASE WHEN reg_trending_state <> 0 THEN 'on' ELSE 'off' END, executed_pnl_r FROM l UNION ALL SELECT 'probability_bucket', pb, executed_pnl_r FROM l), g AS (SELECT axis, key, count(*) AS n, sum(executed_pnl_r) AS p FROM u GROUP BY 1, 2) SELECT axis, key, n AS trade_count, {O.r6('p', 'total_pnl_r')} FROM (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY n DESC, p, key) AS r FROM g) WHERE r = 1")
+def _worst_rows(spark, d):
+    """Executed rows of the path that lost most."""
+    rows = path_rows(setups(spark, d))
+    return rows.filter(F.col("path_id") == MS.worst_path(rows))
+
+
+@query("attribution_dominant_axes", f"{W0}, l AS (SELECT *, strftime(entry_time, '%H:%M') AS tb, {_BIN} AS pb FROM path_rows WHERE path_id = (SELECT path_id FROM path_rows GROUP BY 1 ORDER BY sum(executed_pnl_r), path_id LIMIT 1) AND executed_pnl_r < 0), u AS (SELECT 'subtype' AS axis, setup_subtype AS key, executed_pnl_r FROM l UNION ALL SELECT 'time_of_day', tb, executed_pnl_r FROM l UNION ALL SELECT 'volatility_regime', CASE WHEN reg_high_vol_state <> 0 THEN 'on' ELSE 'off' END, executed_pnl_r FROM l UNION ALL SELECT 'trend_regime', CASE WHEN reg_trending_state <> 0 THEN 'on' ELSE 'off' END, executed_pnl_r FROM l UNION ALL SELECT 'probability_bucket', pb, executed_pnl_r FROM l), g AS (SELECT axis, key, count(*) AS n, sum(executed_pnl_r) AS p FROM u GROUP BY 1, 2) SELECT axis, key, n AS trade_count, {O.r6('p', 'total_pnl_r')} FROM (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY n DESC, p, key) AS r FROM g) WHERE r = 1")
 def attribution_dominant_axes(spark, d):
     """Largest loss group on every axis of one path."""
-    return _out(D.dominant_axes(path_rows(setups(spark, d)).filter("path_id = 'cpcv_002'")))
+    return _out(D.dominant_axes(_worst_rows(spark, d)))
 
 
 @query("attribution_tail", f"{W0}, u AS (SELECT path_id, 'setup_subtype' AS axis, setup_subtype AS key, executed_pnl_r FROM path_rows UNION ALL SELECT path_id, 'probability_bin', {_BIN}, executed_pnl_r FROM path_rows) SELECT path_id, axis, key, count(*) AS trade_count, {O.r6('sum(executed_pnl_r)', 'total_pnl_r')} FROM u GROUP BY 1, 2, 3")
@@ -662,10 +724,10 @@ def attribution_calibration_by_state(spark, d):
     return _out(D.calibration_by_state(setups(spark, d)))
 
 
-@query("attribution_state_contribution", f"{W0} SELECT market_state, count(*) AS trade_count, {O.r6('sum(executed_pnl_r)', 'total_pnl_r')} FROM path_rows WHERE path_id = 'cpcv_001' GROUP BY 1")
+@query("attribution_state_contribution", f"{W0} SELECT market_state, count(*) AS trade_count, {O.r6('sum(executed_pnl_r)', 'total_pnl_r')} FROM path_rows WHERE path_id = (SELECT path_id FROM path_rows GROUP BY 1 ORDER BY sum(executed_pnl_r), path_id LIMIT 1) GROUP BY 1")
 def attribution_state_contribution(spark, d):
     s = setups(spark, d)
-    return _out(D.state_contribution(path_rows(s).filter("path_id = 'cpcv_001'"), s))
+    return _out(D.state_contribution(_worst_rows(spark, d), s))
 
 
 # ------------------------------------------------------------ trial ledger
