@@ -340,15 +340,31 @@ def exit_mae_cut(spark, d):
     return _out(_replay(spark, d, ["scratch_3_bars_plus_mae_cut_0_65r"]).select("candidate_id", "outcome", "bars_held", "pnl_r"))
 
 
+#: Exit rules that SQL repeats, by policy.
+_RULES = {
+    "fixed_1_5r_tp_sl_baseline": "false THEN ''",
+    "scratch_no_followthrough_after_3_bars": "k = 3 AND m < 0.25 THEN 'scratch_no_followthrough'",
+    "time_stop_10_bars": "k = 10 THEN 'time_stop'",
+    "scratch_3_bars_plus_mae_cut_0_65r": "(CASE WHEN sg > 0 THEN entry_price - low ELSE high - entry_price END) / risk >= 0.65 THEN 'mae_cut' WHEN k = 3 AND m < 0.25 THEN 'scratch_no_followthrough'",
+}
+_ALL_RULES = " UNION ALL ".join(f"SELECT '{p}' AS policy, * FROM (WITH {_SCR.format(rule=r)} SELECT * FROM res)" for p, r in _RULES.items())
+
+
 @query(
     "exit_policy_evaluation",
-    f"{_LAB}, {_SCR.format(rule=chr(39).join(['k = 3 AND m < 0.25 THEN ', 'scratch_no_followthrough', '']))}, r AS (SELECT res.*, c.session_date, c.decision_sod FROM res JOIN ucands c USING (candidate_id)), "
-    "cu AS (SELECT *, sum(pnl_r) OVER (ORDER BY session_date, decision_sod, candidate_id) AS cum FROM r), dd AS (SELECT *, cum - greatest(max(cum) OVER (ORDER BY session_date, decision_sod, candidate_id), 0) AS dd FROM cu) "
-    f"SELECT 'scratch_no_followthrough_after_3_bars' AS policy, count(*) AS trade_count, {O.r6('sum(pnl_r)', 'total_pnl_r')}, {O.r6('avg(pnl_r)', 'avg_trade_r')}, {O.r6('median(pnl_r)', 'median_trade_r')}, {O.r6('avg(CASE WHEN pnl_r > 0 THEN 1 ELSE 0 END)', 'win_rate')}, {O.r6('coalesce(avg(pnl_r) FILTER (WHERE pnl_r > 0) / avg(-pnl_r) FILTER (WHERE pnl_r < 0), 0)', 'payoff_ratio')}, {O.r6('least(min(dd), 0)', 'max_drawdown_r')} FROM dd",
+    f"{_LAB}, al AS ({_ALL_RULES}), r AS (SELECT al.*, c.session_date, c.decision_sod FROM al JOIN ucands c USING (candidate_id)), "
+    "cu AS (SELECT *, sum(pnl_r) OVER (PARTITION BY policy ORDER BY session_date, decision_sod, candidate_id) AS cum FROM r), dd AS (SELECT *, cum - greatest(max(cum) OVER (PARTITION BY policy ORDER BY session_date, decision_sod, candidate_id), 0) AS dd FROM cu) "
+    f"SELECT policy, count(*) AS trade_count, {O.r6('sum(pnl_r)', 'total_pnl_r')}, {O.r6('avg(pnl_r)', 'avg_trade_r')}, {O.r6('median(pnl_r)', 'median_trade_r')}, {O.r6('avg(CASE WHEN pnl_r > 0 THEN 1 ELSE 0 END)', 'win_rate')}, {O.r6('coalesce(avg(pnl_r) FILTER (WHERE pnl_r > 0) / avg(-pnl_r) FILTER (WHERE pnl_r < 0), 0)', 'payoff_ratio')}, {O.r6('least(min(dd), 0)', 'max_drawdown_r')} FROM dd GROUP BY 1",
 )
 def exit_policy_evaluation(spark, d):
-    """Totals, median, payoff and drawdown of a policy."""
-    return _out(E.evaluate_policies(_replay(spark, d, ["scratch_no_followthrough_after_3_bars"])).drop("right_tail_p90_r"))
+    """Totals, median, payoff and drawdown of every policy whose rule SQL repeats; ``exit_policies_evaluated`` has all."""
+    return _out(E.evaluate_policies(_replay(spark, d, list(_RULES))).drop("right_tail_p90_r"))
+
+
+@query("exit_policies_evaluated")
+def exit_policies_evaluated(spark, d):
+    """All eighteen policies evaluated."""
+    return _out(E.evaluate_policies(_replay(spark, d)))
 
 
 @query("exit_batches")
