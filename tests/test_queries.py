@@ -13,7 +13,9 @@ NAMES = [
     "entry_first_break_outcome", "session_quality_report", "zone_opening", "candidate_canonical", "universe_summary", "label_triple_barrier",
     "feature_context", "feature_market_raw", "indicator_rolling", "policy_tail_cleanup", "backtest_executed_trades", "backtest_stitched_performance",
     "split_walk_forward", "split_combinatorial_per_group", "metric_auc_documents", "calibration_review", "market_state_assignment",
-    "residual_clusters", "diagnostic_failure_clusters", "attribution_dominant_axes", "ledger_branch_status", "gate_promotion_decision", "replay_report",
+    "residual_clusters", "diagnostic_failure_clusters", "market_gate_leakage", "market_leakage_audit", "market_reliability_warnings", "trial_state_cycle", "cpcv_given_probabilities",
+    "indicator_snapshot", "indicator_recursive", "match_bar_alignment", "exit_policy_evaluation", "source_bar_cache", "source_path_rows", "source_ledger_cache", "source_report",
+    "source_manual_examples", "source_registry", "attribution_dominant_axes", "ledger_branch_status", "gate_promotion_decision", "replay_report",
 ]
 
 
