@@ -40,6 +40,8 @@ PHASES, RATE = 32, 0.3
 AGAIN, AGAIN_SHARE = 8, 0.25
 
 
+#: Words whose ids a worker keeps: some 100 MB and as much again for those before them.
+WORDS = 600_000
 # fixed values: the pre-tokenizer's pattern on lower-case ASCII without white space
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
@@ -54,7 +56,7 @@ class WordEncoder:
     that may hold a special string, are left to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = WORDS):
         # a pool of threads in every worker would only wait for the others' cores
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -112,11 +114,12 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, words: int) -> WordEncoder:
+    return WordEncoder(path, words)
 
 
-def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text", ids: bool = False,
+                 words: int = WORDS) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, __part, __nth[, ids])``: documents cut at ``capacity`` tokens.
 
     ``__nth`` numbers the pieces of a length within the task ``__part``.
@@ -125,9 +128,9 @@ def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = 4096, end:
     tail = array("I", [end]).tobytes()
 
     def run(batches):
-        encode, part, seen = _encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
+        encode, part, seen = _encoder(vocabulary, words), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            out, words = [[], [], [], [], [], []], []
+            out, held = [[], [], [], [], [], []], []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
                 data = encode(raw) + tail
                 for number, at in enumerate(range(0, len(data), 4 * capacity)):
@@ -137,12 +140,12 @@ def token_pieces(docs: DataFrame, *, vocabulary: str, capacity: int = 4096, end:
                         column.append(value)
                     seen[n] += 1
                     if ids:
-                        words.append(np.frombuffer(cut, dtype="<u4").astype(np.int32))
+                        held.append(np.frombuffer(cut, dtype="<u4").astype(np.int32))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(out, kinds)] + [pa.array([part] * len(out[0]), pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "__nth", "__part"]
             if ids:
-                arrays.append(pa.array(words, pa.list_(pa.int32())))
+                arrays.append(pa.array(held, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -286,16 +289,18 @@ def _table(configs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, *, vocabulary: str, capacity: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, vocabulary: str, capacity: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text", ids: bool = False,
+         words: int = WORDS) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids])`` per piece.
 
     A document is the ids of its text and the ``end`` id; those longer than
     ``capacity`` are cut into pieces of it.  A null text is an empty one: its
     piece is the end id alone.  Repeated rows and null ids are packed like any
-    other; other columns are left out.  ``ids=True`` adds the tokens.  An empty
-    table gives an empty result.
+    other; other columns are left out.  ``ids=True`` adds the tokens.  A worker
+    keeps the ids of up to twice ``words`` words.  An empty table gives an empty
+    result.
     """
-    pieces = stored(token_pieces(docs, vocabulary=vocabulary, capacity=capacity, end=end, doc_id=doc_id, text=text, ids=ids), "pieces")
+    pieces = stored(token_pieces(docs, vocabulary=vocabulary, capacity=capacity, end=end, doc_id=doc_id, text=text, ids=ids, words=words), "pieces")
     counts = pieces.groupBy("length", "__part").agg(F.count("*").alias("n"))
     # at most one row per length: bounded by the capacity
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
