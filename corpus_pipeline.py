@@ -40,7 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the rows in sequences of 4096 tokens."""
-    return packing.pack(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+    # beside the other stages' memory a smaller cache of words
+    return packing.pack(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1, words=150_000)
 
 
 STAGES = [
