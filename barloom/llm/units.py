@@ -101,7 +101,7 @@ def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 1, d
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "start")
     first = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     names = ["k1", "k2", "doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "copy"]
-    joined = units.join(first, ["h1", "h2"])
+    joined = units.join(first, ["h1", "h2"]).drop("h1", "h2")
     single = joined.where(place > F.col("first"))
     if more.isEmpty():
         once = single
