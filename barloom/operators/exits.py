@@ -249,8 +249,11 @@ def evaluate_policies(results: DataFrame, key: str = "candidate_id", policy: str
     return body.join(med, policy).join(tail, policy)
 
 
-def improvement_attribution(results: DataFrame, baseline: str, key: str = "candidate_id") -> DataFrame:
-    """Where a policy's change against the baseline comes from."""
+def improvement_attribution(results: DataFrame, baseline: str, key: str = "candidate_id", policies: DataFrame | None = None) -> DataFrame:
+    """Where a policy's change against the baseline comes from.
+
+    Policies of the configured table ``policies`` without a trade have zeros.
+    """
     base = results.filter(F.col("policy") == baseline).select(key, F.col("pnl_r").alias("base_r"))
     d = F.col("pnl_r") - F.col("base_r")
     s = lambda cond: F.sum(F.when(cond, d).otherwise(0.0))
@@ -260,6 +263,8 @@ def improvement_attribution(results: DataFrame, baseline: str, key: str = "candi
         s((F.col("base_r") > 0) & (d < 0)).alias("winner_giveback_r"),
         s((F.col("base_r") < 0) & (d < 0)).alias("worsened_losers_r"),
     )
+    if policies is not None:
+        g = policies.select("policy").join(g, "policy", "left").fillna(0.0)
     top = F.greatest("expanding_winners_r", F.abs("winner_giveback_r"), F.abs("worsened_losers_r"))
     return g.withColumn(
         "primary_source",

@@ -384,8 +384,9 @@ _ATT = f"{_LAB}, {_SCR.format(rule=chr(39).join(['k = 3 AND m < 0.25 THEN ', 'sc
 @query("exit_improvement_attribution", f"{_ATT} SELECT 'scratch_no_followthrough_after_3_bars' AS policy, {O.r6('a', 'cutting_losers_r')}, {O.r6('b', 'expanding_winners_r')}, {O.r6('c', 'winner_giveback_r')}, {O.r6('e', 'worsened_losers_r')}, CASE WHEN a >= greatest(b, abs(c), abs(e)) THEN 'cutting_losers' WHEN b > 0 THEN 'expanding_winners' ELSE 'mixed_or_negative' END AS primary_source FROM g")
 def exit_improvement_attribution(spark, d):
     """Where a policy's change against the fixed exit comes from."""
-    r = _replay(spark, d, ["fixed_1_5r_tp_sl_baseline", "scratch_no_followthrough_after_3_bars"])
-    return _out(E.improvement_attribution(r, "fixed_1_5r_tp_sl_baseline").filter(F.col("policy") != "fixed_1_5r_tp_sl_baseline"))
+    names = ["fixed_1_5r_tp_sl_baseline", "scratch_no_followthrough_after_3_bars"]
+    r = _replay(spark, d, names)
+    return _out(E.improvement_attribution(r, "fixed_1_5r_tp_sl_baseline", policies=E.policy_table(spark, names)).filter(F.col("policy") != "fixed_1_5r_tp_sl_baseline"))
 
 
 _PATH = f"""{_LAB}, pp AS (SELECT candidate_id, k, sg, entry_price, risk, bopen, bclose, high, low, (CASE WHEN sg > 0 THEN high - entry_price ELSE entry_price - low END) / risk AS fr, (CASE WHEN sg > 0 THEN low - entry_price ELSE entry_price - high END) / risk AS ar, sign(bclose - bopen) AS sd, lag(sign(bclose - bopen)) OVER (PARTITION BY candidate_id ORDER BY k) AS ps, count(*) OVER (PARTITION BY candidate_id) AS n FROM lpath),
