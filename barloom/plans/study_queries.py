@@ -460,9 +460,11 @@ def label_policy_grid(spark, d):
     """Several label settings in one job."""
     pol = spark.createDataFrame(_POL, "label_policy string, horizon_bars int, stop_multiple double, target_multiple double")
     lab = L.triple_barrier(study_bars(spark, d), _cands(spark, d), STUDY, policies=pol, max_horizon=20)
-    return _out(lab.groupBy("label_policy").agg(
+    g = lab.groupBy("label_policy").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("label").alias("positive_rate"), F.avg("pnl_r").alias("avg_pnl_r"), F.avg("bars_held").alias("avg_bars_held")
-    ))
+    )
+    # a setting that labels nothing has a row as well
+    return _out(pol.select("label_policy").join(g, "label_policy", "left").fillna(0, ["rows"]))
 
 
 @query(
