@@ -132,14 +132,14 @@ def archetype_summary(paths: DataFrame) -> DataFrame:
 
 
 def path_summary(paths: DataFrame, focus: str | None = None) -> DataFrame:
-    """One-row means over all paths, or over the archetypes of a focus."""
+    """One-row means over all paths, or over the archetypes of a focus; null without any."""
     p = paths if focus is None else paths.filter(F.col("trade_outcome_taxonomy").isin(FOCUS.get(focus, [])))
     sess = p.select("session_date").distinct().agg(F.count(F.lit(1)).alias("session_count"))
     body = p.agg(
         F.count(F.lit(1)).alias("trade_count"),
-        F.coalesce(F.sum("pnl_r"), F.lit(0.0)).alias("total_pnl_r"),
+        F.sum("pnl_r").alias("total_pnl_r"),
         *[
-            F.coalesce(F.avg(x), F.lit(0.0)).alias(f"avg_{x}")
+            F.avg(x).alias(f"avg_{x}")
             for x in ("mfe_r", "mae_r", "time_to_mfe_bars", "time_to_mae_bars", "follow_through_persistence", "tempo_decay", "volatility_collapse")
         ],
     )
