@@ -36,7 +36,9 @@ def _labelled_features(spark, d, policies=None):
     taken = set(lab.columns) | {"setup_subtype"}
     subtype = cands.select("candidate_id", "setup_subtype")
     cols = [c for c in cols if c not in taken]
-    return lab.join(subtype, "candidate_id").join(m.select("candidate_id", *cols), "candidate_id"), cols
+    # a backtest reads the regime, known or not
+    regime = [c for c in ("reg_high_vol_state", "reg_trending_state") if c not in cols]
+    return lab.join(subtype, "candidate_id").join(m.select("candidate_id", *cols, *regime), "candidate_id"), cols
 
 
 def _report(rows, cols, th, uses=None):
