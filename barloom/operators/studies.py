@@ -25,7 +25,7 @@ def _variants(rows: DataFrame, variant: str) -> list[str]:
 
 
 def _placed(rows: DataFrame, names: list[str], variant: str) -> Column:
-    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col(variant)).cast("int") - 1
+    return F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col(variant)).cast("int") - 1
 
 
 def _both_labels(preds: DataFrame, by: list[str], label: str) -> DataFrame:
