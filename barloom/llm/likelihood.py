@@ -5,7 +5,7 @@ counters.  Two multinomials are counted, one over the rows of a trusted target
 and one over all rows of the raw corpus, both with add-``alpha`` smoothing.  A
 row's score is the mean over its n-grams of log target - log raw, so length
 does not matter, and it is kept if the score reaches a threshold that follows
-from the labelled rows alone.
+from the labelled rows alone, all of them.
 
 Everything is DataFrame functions; arrays never leave their row, and the
 counters are aggregated inside the map tasks before they are shuffled.
@@ -23,9 +23,9 @@ _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 #: Number of counters: bounds the model that travels with the tasks to 64 KB.
 BUCKETS = 1 << 13
-#: Labelled ids the model is fitted on: all of them up to about this many, else
-#: those of the least hashes.  Bounds the broadcast table of ids to a few MB.
-LABELS = 200_000
+#: Bits of the map of hashed ids that spares texts a shuffle: 4 MB whatever the
+#: number of ids, as 1,024 bitmaps of Spark's size.
+ID_BITS = 1 << 25
 
 
 def _pairs(a: Column, fn) -> Column:
@@ -72,15 +72,16 @@ def _pair_hashes() -> Column:
     return _pairs(F.col("__hashes"), lambda a, b: F.xxhash64(a, b))
 
 
-def ratio_model(rows: DataFrame, buckets: int, alpha: float) -> DataFrame:
+def ratio_model(rows: DataFrame, trusted: DataFrame, buckets: int, alpha: float) -> DataFrame:
     """One row: ``ratio``, log target - log raw of every counter in order.
 
-    ``rows`` has ``__hashes`` and ``__trusted``.  The array has ``buckets``
-    values whatever the size of the corpus.
+    Both tables have ``__hashes``; ``trusted`` holds the rows of the target again.  The
+    array has ``buckets`` values whatever the size of the corpus.
     """
+    both = rows.select("__hashes", F.lit(1).alias("__raw"), F.lit(0).alias("__good")).union(trusted.select("__hashes", F.lit(0), F.lit(1)))
     # outer, or the optimizer tests the array for emptiness by computing it again
-    grams = rows.select("__trusted", F.explode_outer(F.concat("__hashes", _pair_hashes())).alias("h")).where("h is not null")
-    counts = grams.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.count("*").alias("raw"), F.sum(F.col("__trusted").cast("bigint")).alias("good"))
+    grams = both.select("__raw", "__good", F.explode_outer(F.concat("__hashes", _pair_hashes())).alias("h")).where("h is not null")
+    counts = grams.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.sum("__raw").alias("raw"), F.sum("__good").alias("good"))
     spots = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
     filled = spots.join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     # the gathered array has one entry per counter
@@ -128,17 +129,29 @@ def threshold_model(rows: DataFrame, steps: int = 4096, weight: float = 10.0) ->
     return found.agg(F.coalesce(F.max("threshold"), F.lit(float("-inf"))).alias("threshold"))
 
 
-def known_labels(labels: DataFrame, doc_id: str, good: str, bad: str | None, most: int) -> DataFrame:
-    """``(__id, __good, __trusted)`` of about ``most`` labelled ids at the most, chosen by hash."""
+def known_labels(labels: DataFrame, doc_id: str, good: str, bad: str | None) -> DataFrame:
+    """``(__id, __good, __trusted)`` of every labelled id."""
     is_good, is_bad = (labels[f"`{good}`"] == 1).cast("int"), (F.coalesce(labels[f"`{bad}`"] == 1, F.lit(False)) if bad else F.lit(False))
     said = labels.select(long_id(labels, doc_id).alias("__id"), is_good.alias("__good"), ((is_good == 1) & ~is_bad).alias("__trusted")).where("__id is not null and __good is not null")
-    total = said.agg(F.count("*").alias("__n"))
-    chosen = said.crossJoin(F.broadcast(total)).where((F.col("__n") <= most) | (F.pmod(F.xxhash64("__id"), F.col("__n")) < most))
-    return chosen.groupBy("__id").agg(F.min("__good").alias("__good"), F.min("__trusted").alias("__trusted"))
+    return said.groupBy("__id").agg(F.min("__good").alias("__good"), F.min("__trusted").alias("__trusted"))
+
+
+def perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc_id`` is not an ``__id`` of ``ids``; loses none that is.
+
+    Ids are hashed to ``ID_BITS`` bits, so what travels to the tasks is bounded;
+    with more ids than bits more rows pass.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    bits = ids.select(spot("__id").alias("__s")).groupBy(F.bitmap_bucket_number("__s").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__s")).alias("__bits"))
+    place = F.bitmap_bit_position(spot("doc_id"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.join(F.broadcast(bits), F.bitmap_bucket_number(spot("doc_id")) == F.col("__bucket"))
+    return near.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", good: str = "quality", bad: str | None = "toxic",
-                  buckets: int = BUCKETS, alpha: float = 0.5, most_labels: int = LABELS) -> DataFrame:
+                  buckets: int = BUCKETS, alpha: float = 0.5) -> DataFrame:
     """Base statistics, score and verdict per row of ``docs``, with all its columns in ``row``.
 
     Returns ``row, doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -151,12 +164,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     are counted and returned as they are.  Without labels nothing but the base
     rules rejects.  An empty table gives an empty result.
     """
-    known = stored(known_labels(labels, doc_id, good, bad, most_labels), "labels")
+    known = stored(known_labels(labels, doc_id, good, bad), "labels")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), long_id(docs, doc_id).alias("doc_id"), docs[f"`{text}`"].cast("string").alias("__text"))
-    told = with_words(rows.select("doc_id", "__text").join(F.broadcast(known), rows["doc_id"] == known["__id"], "left"))
-    model = stored(ratio_model(told.select("__hashes", F.coalesce("__trusted", F.lit(False)).alias("__trusted")), buckets, alpha), "ratio")
-    # the threshold asks twice for the scores of the labelled rows
-    known = stored(scored(told.where("__good is not null").select("__hashes", "__good"), model, buckets).select("score", "__good"), "scores")
+    bare, ids = rows.select("doc_id", "__text"), known.where("__trusted").select("__id")
+    # ids grow with the corpus, so they are shuffled and not broadcast
+    trusted = perhaps_in(bare, ids).join(ids.hint("merge"), F.col("doc_id") == F.col("__id"))
+    model = stored(ratio_model(with_words(bare), with_words(trusted), buckets, alpha), "ratio")
+    # scores are shuffled to the labels, not texts; the threshold asks twice for them
+    scores = scored(with_words(bare), model, buckets).select("doc_id", "score")
+    known = stored(scores.join(known.hint("merge"), F.col("doc_id") == F.col("__id")).select("score", "__good"), "scores")
     limit = stored(threshold_model(known), "threshold")
     result = base_rules(scored(with_words(rows), model, buckets)).crossJoin(F.broadcast(limit))
     kept = ~F.col("base_failed") & (F.col("score") >= F.col("threshold"))
