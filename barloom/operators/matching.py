@@ -49,17 +49,21 @@ def normalize_examples(trades: DataFrame, valid: str = "valid_reason", invalid:
 def align_to_bars(trades: DataFrame, bars: DataFrame, key: str, time: str = "sod") -> DataFrame:
     """Last session bar at or before the trade, else the first bar after it.
 
-    Stacked bars and trades of a session, one backward and one forward carry.
+    Stacked bars and times of a session, one backward and one forward carry;
+    trades of one time share their anchor, so a time is carried once.
     """
-    b = bars.select(*SESSION_KEY, F.col("sod").alias("t"), F.lit(0).alias("side"), F.col("sod").alias("bar"), F.lit(None).cast("string").alias("id"))
-    q = trades.select(*SESSION_KEY, F.col(time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("bar"), F.col(key).cast("string").alias("id"))
+    b = bars.select(*SESSION_KEY, F.col("sod").alias("t"), F.lit(0).alias("side"), F.col("sod").alias("bar"))
+    q = trades.select(*SESSION_KEY, F.col(time).alias("t")).distinct().select(*SESSION_KEY, "t", F.lit(1).alias("side"), F.lit(None).cast("int").alias("bar"))
     back = W.partitionBy(*SESSION_KEY).orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
     ahead = W.partitionBy(*SESSION_KEY).orderBy(F.col("t").desc(), F.col("side").desc()).rowsBetween(W.unboundedPreceding, 0)
     u = b.unionByName(q).withColumns(
         {"before": F.last("bar", ignorenulls=True).over(back), "after": F.last("bar", ignorenulls=True).over(ahead)}
     )
-    hit = u.filter(F.col("side") == 1).select(*SESSION_KEY, F.col("id").alias("__id"), F.coalesce("before", "after").alias("anchor_sod"))
-    return trades.withColumn("__id", F.col(key).cast("string")).join(hit, [*SESSION_KEY, "__id"], "left").drop("__id")
+    hit = u.filter(F.col("side") == 1).select(*[F.col(c).alias(f"__{c}") for c in SESSION_KEY], F.col("t").alias("__t"), F.coalesce("before", "after").alias("anchor_sod"))
+    on = F.col(time).eqNullSafe(F.col("__t"))
+    for c in SESSION_KEY:
+        on = on & (F.col(c) == F.col(f"__{c}"))
+    return trades.join(hit, on, "left").drop("__t", *[f"__{c}" for c in SESSION_KEY])
 
 
 def context_windows(anchored: DataFrame, bars: DataFrame, key: str, *, before: int = 12, after: int = 24) -> DataFrame:
@@ -87,6 +91,16 @@ def sequences(windows: DataFrame, key: str) -> DataFrame:
     return windows.groupBy(key, *SESSION_KEY).agg(F.array_sort(F.collect_list(bar)).alias("bars"))
 
 
+def anchor_sequences(bars: DataFrame, **reach: int) -> DataFrame:
+    """``sequences`` of every bar as an anchor, keyed by ``anchor_sod``.
+
+    Windows follow from the bars alone: trades join the finished arrays, and no
+    trade is repeated per bar of its window.
+    """
+    anchors = bars.select(*SESSION_KEY, F.col("sod").alias("anchor_sod"))
+    return sequences(context_windows(anchors, bars, "anchor_sod", **reach), "anchor_sod")
+
+
 def match_examples(manual: DataFrame, cands: DataFrame, *, by: list[str] | None = None, tolerance: int = TOLERANCE) -> DataFrame:
     """One-to-one match: each trade in time order takes the nearest free candidate.
 

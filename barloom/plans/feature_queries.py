@@ -17,6 +17,7 @@ from barloom.plans import oracle_sql as O
 from barloom.plans.registry import query
 from barloom.plans.study_queries import _cands, _out
 from barloom.plans.tables import STUDY, study_bars
+from barloom.schemas import SESSION_KEY
 from barloom.session import cut
 
 _BASE = f"WITH {O.canonical()}, {O.UNIQUE}"
@@ -271,9 +272,9 @@ def match_context_window(spark, d):
 def match_sequences(spark, d):
     """Nested bar arrays per trade."""
     b = study_bars(spark, d)
-    w = M.context_windows(M.align_to_bars(_examples(spark, d), b, "example_id"), b, "example_id")
-    s = M.sequences(w, "example_id")
-    return s.select("example_id", F.size("bars").cast("bigint").alias("n_bars"), F.array_join(F.transform("bars", lambda x: x["sod"].cast("string")), ",").alias("sods"))
+    sods = F.array_join(F.transform("bars", lambda x: x["sod"].cast("string")), ",")
+    s = M.anchor_sequences(b).select(*SESSION_KEY, "anchor_sod", F.size("bars").cast("bigint").alias("n_bars"), sods.alias("sods"))
+    return M.align_to_bars(_examples(spark, d), b, "example_id").join(s, [*SESSION_KEY, "anchor_sod"]).select("example_id", "n_bars", "sods")
 
 
 @query("match_manual_examples")
