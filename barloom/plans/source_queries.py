@@ -37,9 +37,9 @@ _WORST = "(SELECT path_id FROM path_rows GROUP BY 1 ORDER BY sum(executed_pnl_r)
 @query("source_path_rows", f"{W0} SELECT path_id, market_state, count(*) AS trades, {O.r6('sum(executed_pnl_r)', 'total_pnl_r')} FROM path_rows WHERE path_id = {_WORST} GROUP BY 1, 2")
 def source_path_rows(spark, d):
     """Path rows stored by run and path; the worst path is read alone."""
-    path, rows = _folder(spark, "paths"), cut(path_rows(setups(spark, d)))
-    R.write_path_rows(rows, path, "one")
-    one = R.read_path_rows(spark, path, "one", MS.worst_path(rows))
+    path = _folder(spark, "paths")
+    R.write_path_rows(path_rows(setups(spark, d)), path, "one")
+    one = R.read_path_rows(spark, path, "one", MS.worst_path(R.read_path_rows(spark, path, "one")))
     return _out(one.groupBy("path_id", "market_state").agg(F.count(F.lit(1)).alias("trades"), F.sum("executed_pnl_r").alias("total_pnl_r")))
 
 
