@@ -366,9 +366,9 @@ o{name} AS (SELECT '{name}' AS profile, count(*) AS num_trades, avg(CASE WHEN ne
 _RCOLS = "profile, num_trades, " + ", ".join(O.r6(x) for x in ("win_rate", "total_return_pct", "max_drawdown_pct", "total_gross_pnl", "total_costs", "sharpe", "sortino", "profit_factor", "avg_trade", "largest_win", "largest_loss"))
 
 
-def _reports(spark, d):
-    s, out = setups(spark, d), None
-    for profile in ("base", "stressed"):
+def _reports(spark, d, profiles=("base", "stressed")):
+    s, out = B.lean(setups(spark, d)), None
+    for profile in profiles:
         r = R.replay_report(R.replayed(s, fill=B.Fill(profile=profile))).withColumn("profile", F.lit(profile))
         out = r if out is None else out.unionByName(r)
     return out
@@ -382,4 +382,4 @@ def replay_report(spark, d):
 
 @query("replay_stress_view", f"{REC}, {_replay_sql(1.5, 'stressed')} SELECT profile, {O.r6('sharpe')}, {O.r6('max_drawdown_pct')}, {O.r6('total_costs')}, {O.r6('profit_factor')} FROM ostressed")
 def replay_stress_view(spark, d):
-    return _out(R.stress_view(_reports(spark, d).filter("profile = 'stressed'")))
+    return _out(R.stress_view(_reports(spark, d, ["stressed"])))
