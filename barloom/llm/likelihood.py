@@ -170,8 +170,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     # ids grow with the corpus, so they are shuffled and not broadcast
     trusted = perhaps_in(bare, ids).join(ids.hint("merge"), F.col("doc_id") == F.col("__id"))
     model = stored(ratio_model(with_words(bare), with_words(trusted), buckets, alpha), "ratio")
-    # scores are shuffled to the labels, not texts; the threshold asks twice for them
-    scores = scored(with_words(bare), model, buckets).select("doc_id", "score")
+    # texts that cannot have a label are not scored here; scores are shuffled to the labels, not texts; the threshold asks twice for them
+    scores = scored(with_words(perhaps_in(bare, known.select("__id"))), model, buckets).select("doc_id", "score")
     known = stored(scores.join(known.hint("merge"), F.col("doc_id") == F.col("__id")).select("score", "__good"), "scores")
     limit = stored(threshold_model(known), "threshold")
     result = base_rules(scored(with_words(rows), model, buckets)).crossJoin(F.broadcast(limit))
